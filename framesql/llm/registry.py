@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from framesql.llm import langid, lines, mixing, quality, sstable, topk, warc
+from framesql.llm import langid, lines, mixing, pii, quality, sstable, topk, warc
 
 QUERIES = {
     "op1_content_addressed_warc": warc.op1_content_addressed_warc,
     "op2_block_max_search": topk.op2_block_max_search,
     "op3_curriculum_mix": mixing.op3_curriculum_mix,
     "op5_importance_resampling": quality.op5_importance_resampling,
+    "op6_contextual_pii": pii.op6_contextual_pii,
     "op7_line_dedup": lines.op7_line_dedup,
     "op9_compression_langid": langid.op9_compression_langid,
     "op10_sorted_string_table": sstable.op10_sorted_string_table,

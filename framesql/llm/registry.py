@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from framesql.llm import langid, lines, mixing, pii, quality, sstable, topk, warc
+from framesql.llm import decontaminate, langid, lines, mixing, pii, quality, sstable, topk, warc
 
 QUERIES = {
     "op1_content_addressed_warc": warc.op1_content_addressed_warc,
     "op2_block_max_search": topk.op2_block_max_search,
     "op3_curriculum_mix": mixing.op3_curriculum_mix,
+    "op4_template_decontamination": decontaminate.op4_template_decontamination,
     "op5_importance_resampling": quality.op5_importance_resampling,
     "op6_contextual_pii": pii.op6_contextual_pii,
     "op7_line_dedup": lines.op7_line_dedup,

@@ -53,8 +53,10 @@ def _valid(kind: str, v: Column) -> Column:
 
 def _matches(kind: str, pattern: str, text: Column) -> Column:
     """Structs of kind, place in the order of matches, length of the gap before, and value."""
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    found = F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.char_length(F.get(gaps, i)).alias("gap"), v.alias("value")))
+    # zip_with and transform evaluate their arrays once; an array read inside a lambda would be made for each element.
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, v: F.struct(F.char_length(g).alias("gap"), v.alias("value")))
+    numbered = F.transform(pairs, lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), p["gap"].alias("gap"), p["value"].alias("value")))
+    found = F.filter(numbered, lambda p: p["value"].isNotNull())
     needs = _NEEDS.get(kind)
     some = text.contains(needs) if needs else text.rlike("[0-9]")
     return F.when(some & text.rlike("[0-9@]"), found).otherwise(F.array().cast("array<struct<kind:string,at:int,gap:int,value:string>>"))

@@ -35,29 +35,43 @@ UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours minutes
 def _tokens(text: Column) -> Column:
     """Words, and placeholders with the value that they stand for behind them."""
     units = "|".join(sorted(UNITS.split(), key=len, reverse=True))
-    plain = F.translate(text, NUMBER + NAME + UNIT, "   ")
+    marked = text.contains(NUMBER) | text.contains(NAME) | text.contains(UNIT)
+    plain = F.when(marked, F.translate(text, NUMBER + NAME + UNIT, "   ")).otherwise(text)
     named = F.regexp_replace(plain, r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})", NAME)
     with_units = F.regexp_replace(named, rf"([0-9] ?)(?=(?:{units}|[%€$£°])(?!\p{{L}}))", f"$1{UNIT}")
     numbers = F.regexp_replace(with_units, r"(?<![\p{L}\p{N}.,])(?=[0-9])", NUMBER)
-    words = F.regexp_replace(numbers, rf"(?i)(?<!\p{{L}})(?=(?:{'|'.join(NUMBER_WORDS.split())})(?!\p{{L}}))", NUMBER)
-    return F.regexp_extract_all(F.lower(words), F.lit(rf"{NUMBER}(?:[0-9]+(?:[.,][0-9]+)*|\p{{L}}+)|{UNIT}(?:\p{{L}}+|[%€$£°])|{NAME}?\p{{L}}+|[0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(numbers), F.lit(rf"{NUMBER}[0-9]+(?:[.,][0-9]+)*|{UNIT}(?:\p{{L}}+|[%€$£°])|{NAME}?\p{{L}}+|[0-9]+"), F.lit(0))
+
+
+def _kind(token: Column) -> Column:
+    """The placeholder that stands for a token, null for a word."""
+    mark = F.substring(token, 1, 1)
+    return F.when(mark.between(NUMBER, UNIT), mark).when(token.isin(NUMBER_WORDS.split()), F.lit(NUMBER))
 
 
 def _hashes(tokens: Column) -> Column:
-    mark = lambda t: F.substring(t, 1, 1)
-    return F.transform(tokens, lambda t: F.when(mark(t).between(NUMBER, UNIT), F.xxhash64(mark(t))).otherwise(F.xxhash64(t)))
+    return F.transform(tokens, lambda t: F.xxhash64(F.coalesce(_kind(t), t)))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value made once: an array read inside a lambda would be made for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _windows(hashes: Column, n: int) -> Column:
-    """Structs of position and hash of every window of n tokens."""
-    last = F.size(hashes) - n
-    each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.lit(n), F.slice(hashes, i + 1, n)))
-    return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
+    """The hash of every window of n tokens."""
+
+    def of(h: Column) -> Column:
+        last = F.size(h) - n
+        each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.lit(n), F.slice(h, i + 1, n)))
+        return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
+
+    return _once(hashes, of)
 
 
 def _slots(tokens: Column, at: Column, n: Column) -> Column:
     """The placeholders of a window, with their values."""
-    return F.filter(F.slice(tokens, at + 1, n), lambda t: F.substring(t, 1, 1).between(NUMBER, UNIT))
+    return F.filter(F.slice(tokens, at + 1, n), lambda t: _kind(t).isNotNull())
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:

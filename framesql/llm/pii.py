@@ -35,6 +35,9 @@ _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: A token without blanks that holds a digit or an at sign.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: A pattern needs MIN_SEEDS different seeds, and SEED_SHARE of all of them: patterns then are about as many at any size of the
+#: corpus, and the places of their words grow with the corpus, not faster.
+SEED_SHARE = 0.001
 MIN_SEEDS, ROUNDS, CONFIDENT, MIN_LENGTH = 5, 3, 0.8, 6
 CONTEXT_CHARS = 80
 BROADCAST_ROWS = 500_000
@@ -110,7 +113,7 @@ def discover(docs: DataFrame, base: DataFrame) -> DataFrame:
     every = common.written(_lefts(docs, base.select("a", "b", "kind", "start", "end", "value").unionByName(free.withColumn("kind", F.lit("other")))).where(F.col("context").isNotNull()), "pii-mentions")
 
     seeds = every.where(F.col("kind") != "other")
-    short = seeds.groupBy("context").agg(F.approx_count_distinct("value").alias("n")).where(F.col("n") >= MIN_SEEDS).select("context")
+    short = seeds.groupBy("context").agg(F.approx_count_distinct("value").alias("n")).where(F.col("n") >= max(MIN_SEEDS, SEED_SHARE * seeds.count())).select("context")
     short = common.written(short, "pii-patterns")
     empty = every.select("a", "b", "kind", "start", "end").limit(0)
     if short.isEmpty():

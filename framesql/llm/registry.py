@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framesql.llm import decontaminate, langid, lines, mixing, pii, quality, sstable, topk, warc
+from framesql.llm import decontaminate, jaccard, langid, lines, mixing, pii, quality, sstable, topk, warc
 
 QUERIES = {
     "op1_content_addressed_warc": warc.op1_content_addressed_warc,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_importance_resampling": quality.op5_importance_resampling,
     "op6_contextual_pii": pii.op6_contextual_pii,
     "op7_line_dedup": lines.op7_line_dedup,
+    "op8_adaptive_prefix_join": jaccard.op8_adaptive_prefix_join,
     "op9_compression_langid": langid.op9_compression_langid,
     "op10_sorted_string_table": sstable.op10_sorted_string_table,
 }

@@ -315,11 +315,16 @@ def classes(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
-    """The rows whose document is the smallest of its class; of repeated rows one stays."""
-    found = classes(docs, width, share).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    found = common.written(found, "duplicates")
-    kept = docs.join(_bounded(found), F.col("doc_id") == F.col("gone_"), "left_anti")
-    return kept
+    """The rows whose document is the smallest of its class; of rows that repeat its doc_id one stays."""
+    found = common.written(classes(docs, width, share), "classes")
+    gone = _bounded(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct())
+    kept = docs.join(gone, F.col("doc_id") == F.col("gone_"), "left_anti")
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again_"))
+    again = common.written(again, "repeated")
+    if again.isEmpty():
+        return kept
+    repeated, more = F.col("doc_id") == F.col("again_"), _bounded(again)
+    return kept.join(more, repeated, "left_anti").unionByName(kept.join(more, repeated, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op8_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Two hashed n-gram models are counted: the target model over a bounded sample of labelled good
 documents, the raw model over every document. A document's log weight is the sum of
-log(target / raw) over its n-grams. Gumbel noise, fixed by the document's identifier and text, is added and the k
+log(target / raw) over its n-grams, counts being smoothed towards a ratio of 1 by ``PRIOR``. Gumbel noise, fixed by the document's identifier and text, is added and the k
 documents of the largest sums are kept (a sample without replacement in proportion to the weights).
 
 n-grams: words and pairs of words (lower case, marks apart from letters) in ``BUCKETS`` hashed buckets, and triples of
@@ -35,6 +35,8 @@ SHAPES = 9
 SIZE = BUCKETS + SHAPES**3
 #: Most labelled rows that the target model and the cut are fitted on.
 LABELLED_ROWS = 20_000
+#: Added to the seen and to the expected count of a bucket: a bucket of a few hundred n-grams or less says next to nothing.
+PRIOR = 200.0
 CACHE_TOKENS = 600_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -134,9 +136,8 @@ def fit(docs: DataFrame, labels: dict[int, bool]) -> np.ndarray | None:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not target.sum():
         return None
-    share = raw / raw.sum()
-    smoothed = target + 4 * share * SIZE * 0.25  # a little of the raw model, so that rare buckets stay near a ratio of 1
-    return np.log(smoothed / smoothed.sum() / np.maximum(share, 1e-300), out=np.zeros(SIZE), where=raw > 0)
+    expected = raw * (target.sum() / raw.sum())
+    return np.log((target + PRIOR) / (expected + PRIOR))
 
 
 def _uniform(doc_id: int | None, text: str | None) -> float:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,16 @@ SPACE = "\\x20\\x09-\\x0D"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def find_package(spark: SparkSession) -> None:
+    """Lets Python workers on machines that have this folder import the package (elsewhere: ``--py-files``)."""
+    home = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, home)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -24,6 +35,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     It lies in ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a
     temporary folder of this machine is taken, and set for the session.
     """
+    find_package(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master

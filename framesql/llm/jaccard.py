@@ -4,21 +4,22 @@ Sets of word shingles are linked where intersection / union >= ``share`` / 100,
 smallest doc_id that links reach. The steps:
 
 1. Documents of equal sets are one (a 128-bit key of the set); only representatives go on.
-2. Tokens (64-bit shingle hashes) are ordered by hash. A representative's prefix is at least
-   floor((1 - share) n) + 1 tokens; it is lengthened to all tokens in the lower ``REACH`` of the hash space.
-3. Tokens of more than ``COLD`` representatives are hot: candidates through them would grow with the square of the
-   posting. They are skipped, which the lengthened prefix pays for: two linked documents share at
-   least prefix - floor((1 - share) n) prefix tokens (for one of them), so with h hot ones skipped
-   they share as many less h. Pairs that share fewer cold tokens than both allow are no candidates.
-4. Documents whose prefix can't pay for their hot tokens keep them: those in the shortest prefix tie them
-   to all others with that token.
-5. Candidates form blocks (their connected components). Blocks are cut into tiles by size class,
+2. Tokens are 64-bit shingle hashes. A document's list holds its tokens in the lower ``REACH`` of the hash space, at
+   least floor((1 - share) n) + 2 of the lowest.
+3. Tokens in the lists of more than ``COLD`` representatives are hot: candidates through them would grow with the
+   square of the posting. The order of tokens is cold ones, hot ones by their count, all beyond the reach;
+   linked documents share one of the first floor((1 - share) n) + 1 tokens of both.
+4. A list that is longer than that prefix has room: of all its tokens, linked documents share at least that room (of one
+   of them), so with h hot ones passed over they share room - h cold ones. Pairs that share fewer are no candidates.
+5. Documents of which hot tokens come into the prefix keep just these, the rarest first: all documents tied by one
+   are candidates, as a star.
+6. Candidates form blocks (their connected components). Blocks are cut into tiles by size class,
    bounded in tokens, and pairs of tiles are compared exactly on whole sets; a pair of tiles returns a
    spanning forest of its links, never all pairs.
 
 Defined cases: null or empty texts have no shingle and are linked with nothing; a text of fewer words
 than a shingle is one shingle of all its words; a null doc_id stays alone, with a null component; repeated
-rows link as equal sets; extra columns are ignored; an empty table gives no row.
+rows link as equal sets, and different texts under one doc_id each have their own class; extra columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framesql.llm import common, graph
@@ -83,8 +84,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view("i8")))
 
 
-def _sketch(width: int, share: int, with_low: bool):
-    limit = np.uint64(int(REACH * 2**64))
+#: The end of the reach, as a signed integer and as a hash.
+LIMIT = int(REACH * 2**64)
+
+
+def _sketch(width: int, share: int):
+    limit = np.uint64(LIMIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,10 +102,8 @@ def _sketch(width: int, share: int, with_low: bool):
                     n.append(len(s))
                     k1.append(int.from_bytes(key[:8], "little", signed=True))
                     k2.append(int.from_bytes(key[8:], "little", signed=True))
-                    if with_low:
-                        low.append(s[: max(int(np.searchsorted(s, limit)), min(len(s), slack(len(s), share) + 2))])
-                columns = [some.column(0), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [_lists(low)] * with_low, ["doc_id", "n", "k1", "k2"] + ["low"] * with_low)
+                    low.append(s[: max(int(np.searchsorted(s, limit)), min(len(s), slack(len(s), share) + 2))])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _lists(low)], ["doc_id", "n", "k1", "k2", "low"])
 
     return run
 
@@ -191,8 +194,8 @@ def _full_sets(width: int):
     return run
 
 
-def linked(sets: list[np.ndarray], active: np.ndarray, share: int) -> np.ndarray:
-    """Boolean matrix: which sets are linked, for pairs with an active one."""
+def linked(sets: list[np.ndarray], share: int) -> np.ndarray:
+    """Boolean matrix: which sets are linked."""
     n = np.array([len(s) for s in sets], dtype="i8")
     owner = np.repeat(np.arange(len(sets)), n)
     _, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -210,7 +213,6 @@ def linked(sets: list[np.ndarray], active: np.ndarray, share: int) -> np.ndarray
         common_ += x @ x.T
     inter = common_.astype("i8")
     found = 100 * inter >= share * (n[:, None] + n[None, :] - inter)
-    found &= active[:, None] | active[None, :]
     np.fill_diagonal(found, False)
     return found
 
@@ -219,15 +221,13 @@ def _forest(share: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        rid = table["rid"].to_numpy()
-        # A document of both tiles comes twice.
-        _, once = np.unique(rid, return_index=True)
-        table = table.take(pa.array(once))
-        rid, active = rid[once], table["active"].to_numpy(zero_copy_only=False).astype(bool)
         sets = [x.values.to_numpy() for x in table["tokens"].combine_chunks()] if table.num_rows else []
+        # A document of both tiles comes twice, and so does one whose row is repeated.
+        once = list({(r, s.tobytes() if len(s) < 4 else (len(s), int(s[0]), int(s[-1]), int(s.sum()))): i for i, (r, s) in enumerate(zip(table["rid"].to_pylist(), sets, strict=True))}.values())
+        rid, sets = table["rid"].to_numpy()[once] if once else [], [sets[i] for i in once]
         if len(sets) < 2:
             return schema.empty_table()
-        found = linked(sets, active, share)
+        found = linked(sets, share)
         a, b, todo = [], [], set(range(len(rid)))
         while todo:
             reached = {start := todo.pop()}
@@ -252,66 +252,68 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def _tile(members: DataFrame, share: int) -> DataFrame:
-    """Members (block, rid, n, active), each for every pair of tiles that it belongs to: pair, rid, active."""
+    """Members (block, rid, n), each for every pair of tiles that it belongs to: pair, rid."""
+    totals = members.groupBy("block").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    split = totals.where((F.col("tokens") > TILE_TOKENS) | (F.col("rows") > TILE_ROWS)).select("block", F.lit(True).alias("split"))
     level = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(share / 100)) + F.lit(1e-9)).cast("int") if share < 100 else F.col("n")
-    rows = members.withColumn("level", level)
-    counts = rows.groupBy("block", "level", "active").agg(F.ceil(F.greatest(F.sum("n") / TILE_TOKENS, F.count(F.lit(1)) / TILE_ROWS)).cast("int").alias("tiles"))
+    # A small block is one tile.
+    rows = members.join(_bounded(split), "block", "left").withColumn("level", F.when(F.col("split"), level).otherwise(0))
+    counts = rows.groupBy("block", "level").agg(F.ceil(F.greatest(F.sum("n") / TILE_TOKENS, F.count(F.lit(1)) / TILE_ROWS)).cast("int").alias("tiles"))
     counts = common.written(counts, "tiles")
-    rows = rows.join(_bounded(counts), ["block", "level", "active"])
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
-    # Partner tiles: same level or a neighbour; of two passive tiles nothing is compared.
-    other = counts.select("block", F.col("level").alias("level2"), F.col("active").alias("active2"), F.col("tiles").alias("tiles2"))
-    near = [other.withColumn("level", F.col("level2") + d) for d in (-1, 0, 1)]
-    partners = _bounded(near[0].unionAll(near[1]).unionAll(near[2]))
-    rows = rows.join(partners, ["block", "level"]).where("active OR active2").withColumn("tile2", F.explode(F.sequence(F.lit(0), F.col("tiles2") - 1)))
-    own = F.struct(F.col("level"), F.col("active"), F.col("tile"))
-    theirs = F.struct(F.col("level2").alias("level"), F.col("active2").alias("active"), F.col("tile2").alias("tile"))
-    return rows.select(F.struct("block", F.least(own, theirs).alias("x"), F.greatest(own, theirs).alias("y")).alias("pair"), "rid", "active")
+    rows = rows.join(_bounded(counts), ["block", "level"]).withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
+    # Partner tiles: those of the same level or a neighbour.
+    other = counts.select("block", F.col("level").alias("level2"), F.col("tiles").alias("tiles2"))
+    partners = _bounded(other.withColumn("level", F.explode(F.array(F.col("level2") - 1, F.col("level2"), F.col("level2") + 1))))
+    rows = rows.join(partners, ["block", "level"]).withColumn("tile2", F.explode(F.sequence(F.lit(0), F.col("tiles2") - 1)))
+    own, theirs = F.struct("level", "tile"), F.struct(F.col("level2").alias("level"), F.col("tile2").alias("tile"))
+    return rows.select(F.struct("block", F.least(own, theirs).alias("x"), F.greatest(own, theirs).alias("y")).alias("pair"), "rid")
 
 
 def classes(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
+    common.find_package(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    facts = common.written(own.mapInArrow(_sketch(width, share, False), "doc_id long, n int, k1 long, k2 long"), "sets")
-    known = own.where("doc_id IS NOT NULL").mapInArrow(_sketch(width, share, True), "doc_id long, n int, k1 long, k2 long, low array<bigint>").where("n > 0")
-    reps = common.written(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rid"), F.any_value("n").alias("n"), F.any_value("low").alias("low")), "representatives")
+    facts = common.written(own.mapInArrow(_sketch(width, share), "doc_id long, n int, k1 long, k2 long, low array<bigint>"), "sets")
+    known = facts.where("n > 0 AND doc_id IS NOT NULL")
+    reps = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rid"), F.any_value("n").alias("n"), F.any_value("low").alias("low"))
+    reps = common.written(reps, "representatives")
 
     # Candidates through cold tokens, and the hot tokens.
     postings = reps.select("rid", "n", "low").mapInArrow(_capped, "token long, rid long, n int")
     met = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs(share), "a long, b long, shared long, hot long")
     met = common.written(met.groupBy("a", "b", "hot").agg(F.sum("shared").alias("shared")), "met")
     hot = common.written(met.where("hot IS NOT NULL").select(F.col("hot").alias("token")).distinct(), "hot-tokens")
-    lacks = F.col("n") - F.ceil(F.col("n") * share / 100)
-    placed = reps.select("rid", "n", F.size("low").alias("prefix"), F.posexplode("low").alias("place", "token")).join(_bounded(hot), "token", "left_semi")
-    heat = placed.groupBy("rid").agg(F.count(F.lit(1)).alias("h"))
-    need = reps.select("rid", "n", F.size("low").alias("prefix")).join(heat, "rid", "left").select("rid", (F.col("prefix") - lacks - F.coalesce("h", F.lit(0))).alias("need"))
+    signed = LIMIT if LIMIT < 2**63 else LIMIT - 2**64
+    within = (F.col("token") >= 0) & (F.col("token") < F.lit(signed)) if signed >= 0 else (F.col("token") >= 0) | (F.col("token") < F.lit(signed))
+    placed = common.written(reps.select("rid", F.explode("low").alias("token")).join(_bounded(hot), "token", "left_semi").withColumn("within", within), "placed")
+    prefix = F.col("n") - F.ceil(F.col("n") * share / 100) + 1
+    heat = placed.groupBy("rid").agg(F.count(F.lit(1)).alias("h"), F.sum(F.col("within").cast("int")).alias("h_within"))
+    low_within = F.size(F.filter("low", lambda t: (t >= 0) & (t < F.lit(signed)) if signed >= 0 else (t >= 0) | (t < F.lit(signed))))
+    need = reps.select("rid", prefix.alias("prefix"), F.size("low").alias("listed"), low_within.alias("within")).join(heat, "rid", "left").fillna(0, ["h", "h_within"])
+    # need: cold tokens that a linked document shares; take: hot ones that come into the prefix.
+    need = need.select("rid", (F.col("listed") - F.col("prefix") + 1 - F.col("h")).alias("need"), (F.col("prefix") - F.col("within") + F.col("h_within")).alias("take"), (F.col("within") < F.col("prefix")).alias("beyond"))
     need = common.written(need, "needs")
     na, nb = (need.select(F.col("rid").alias(x), F.col("need").alias(f"need_{x}")) for x in "ab")
     pairs = met.where("hot IS NULL").join(na, "a").join(nb, "b").where(F.col("shared") >= F.least("need_a", "need_b")).select("a", "b")
 
-    # Documents that can't do without hot tokens, and all that have one of those in the shortest prefix.
-    tied = placed.where(F.col("place") <= lacks).join(need, "rid").select("token", "rid", "n", (F.col("need") <= 0).alias("active"))
+    # Of the documents with hot tokens in the prefix: just those tokens, the rarest first.
+    counts = placed.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = placed.join(need.where("take > 0"), "rid").join(_bounded(counts), "token")
+    place = F.row_number().over(Window.partitionBy("rid", "within").orderBy("df", "token"))
+    tied = ranked.withColumn("place", place).where((F.col("within") & (F.col("place") <= F.col("take"))) | (~F.col("within") & F.col("beyond"))).select("token", "rid")
     tied = common.written(tied, "tied")
-    hubs = tied.where("active").groupBy("token").agg(F.min("rid").alias("hub"))
-    stars = tied.where("active").join(hubs, "token").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
+    hubs = tied.groupBy("token").agg(F.min("rid").alias("hub"))
+    stars = tied.join(hubs, "token").where("hub <> rid").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
     blocks = graph.components(pairs.unionAll(stars))
-    sizes = reps.select("rid", "n")
-    active = blocks.select(F.col("root").alias("block"), F.col("id").alias("rid")).join(sizes, "rid").select("block", "rid", "n", F.lit(True).alias("active"))
-    hub_blocks = hubs.join(blocks.select(F.col("id").alias("hub"), F.col("root").alias("block")), "hub", "left").select("token", F.coalesce("block", "hub").alias("block"))
-    passive = tied.join(hub_blocks, "token").select("block", "rid", "n", F.lit(False).alias("active"))
-    # A hub that is alone so far is active where others share its token.
-    lone = hubs.select(F.col("hub").alias("block"), F.col("hub").alias("rid")).distinct().join(sizes, "rid").select("block", "rid", "n", F.lit(True).alias("active")).join(blocks.select(F.col("id").alias("rid")), "rid", "left_anti").select("block", "rid", "n", "active")
-    members = active.unionByName(lone).unionByName(passive).groupBy("block", "rid").agg(F.any_value("n").alias("n"), F.max("active").alias("active"))
-    members = common.written(members, "members")
+    members = common.written(blocks.select(F.col("root").alias("block"), F.col("id").alias("rid")).join(reps.groupBy("rid").agg(F.max("n").alias("n")), "rid").select("block", "rid", "n"), "members")
+
     needed = _bounded(members.select("rid").distinct())
-    texts = own.join(needed, own["doc_id"] == needed["rid"], "left_semi").mapInArrow(_full_sets(width), "rid long, tokens array<bigint>").dropDuplicates(["rid"])
-    # A repeated doc_id may come with several texts: the set of the representative is that of its key.
-    tiles = _tile(members, share).join(texts, "rid")
-    links = tiles.groupBy("pair").applyInArrow(_forest(share), "a long, b long")
-    roots = graph.components(links)
-    of_set = reps.select("k1", "k2", "rid").join(roots.withColumnRenamed("id", "rid"), "rid", "left").select("k1", "k2", F.coalesce("root", "rid").alias("component"))
-    joined = facts.join(of_set.withColumnsRenamed({"k1": "k1_", "k2": "k2_"}), (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    sets = own.join(needed, own["doc_id"] == needed["rid"], "left_semi").mapInArrow(_full_sets(width), "rid long, tokens array<bigint>")
+    links = _tile(members, share).join(sets, "rid").groupBy("pair").applyInArrow(_forest(share), "a long, b long")
+    roots = graph.components(common.written(links, "links"))
+    of_set = reps.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), "rid").join(roots.withColumnRenamed("id", "rid"), "rid", "left").select("k1_", "k2_", F.coalesce("root", "rid").alias("component"))
+    same = (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")) & (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return facts.drop("low").join(of_set, same, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:

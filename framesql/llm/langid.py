@@ -91,6 +91,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.0
             score = pa.array([s for _, s in got], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in got], pa.string()), score, pa.array([s >= margin for _, s in got])], ["doc_id", "held_out", "lang_pred", "score", "confident"])
 
+    common.find_package(docs.sparkSession)
     own = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, confident boolean")
 

@@ -208,6 +208,7 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
 
 def decide(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, float] | None:
     """Scores (a written table), the model, and the k-th largest sum; None keeps everything."""
+    common.find_package(docs.sparkSession)
     sample = labelled(labels)
     model = fit(docs, sample)
     if model is None:

@@ -307,6 +307,7 @@ MANIFEST = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("entries",
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the shards and a manifest table (one row per shard) and returns the manifest."""
     spark = docs.sparkSession
+    common.find_package(spark)
     own = docs.select("doc_id", "text")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(6, -(-total // shard_bytes)) if total else 1

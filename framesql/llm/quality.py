@@ -12,7 +12,7 @@ k comes from the labels: the sample's documents give the cut of the log weight t
 is the number of all documents above it. The k-th sum is found by counting in ever finer intervals, so
 no more than some thousand numbers reach the driver at any size.
 
-Defined cases: a null or empty text has weight 0 (log) and only noise; documents that tie with the k-th all stay;
+Defined cases: a null or empty text has log weight 0, which speaks neither for nor against it, and noise; documents that tie with the k-th all stay;
 repeated rows share their fate; without labels everything is kept; labels that are null, or
 without a document, are ignored; extra columns are kept by ``resample``.
 """
@@ -180,7 +180,11 @@ def cut(scored: DataFrame, labels: dict[int, bool]) -> float:
     # Rejecting the first i: bad ones below are right, good ones below are wrong (and weigh more).
     gain = np.concatenate(([0.0], np.cumsum(np.where(good, -4.0, 1.0))))
     i = int(np.argmax(gain))
-    return -np.inf if i == 0 else float(w[i - 1]) if i == len(w) else float((w[i - 1] + w[i]) / 2)
+    if i == 0:
+        return -np.inf
+    middle = w[i - 1] if i == len(w) else (w[i - 1] + w[i]) / 2
+    # Below 0 where the bad ones allow it: a weight of 0 says nothing against a document.
+    return float(min(middle, w[i - 1] / 2) if w[i - 1] < 0 else middle)
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float:

@@ -13,11 +13,31 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts state it; ``bytes.split()`` uses the same set.
 SPACE = "\\x20\\x09-\\x0D"
 
+BATCH_ROWS = 1_000
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_CACHES: list[dict] = []
+
+
+def own_cache(cache: dict) -> dict:
+    """The cache of the operator that now runs in this Python worker; those of others are emptied, as workers are used again."""
+    for other in _CACHES:
+        if other is not cache:
+            other.clear()
+    if not any(other is cache for other in _CACHES):
+        _CACHES.append(cache)
+    return cache
+
+
 def find_package(spark: SparkSession) -> None:
-    """Lets Python workers on machines that have this folder import the package (elsewhere: ``--py-files``)."""
+    """Lets Python workers on machines that have this folder import the package (elsewhere: ``--py-files``).
+
+    Texts are long rows: where the session has Spark's default of 10,000 rows for a batch to Python, it gets ``BATCH_ROWS``.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     home = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if home not in known.split(os.pathsep):

@@ -39,7 +39,7 @@ REACH, COLD = 0.22, 16
 #: Tokens and rows of a tile.
 TILE_TOKENS, TILE_ROWS = 400_000, 512
 BROADCAST_ROWS = 1_000_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 _CACHE: dict[bytes, int] = {}
 
@@ -56,7 +56,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, "u8")
-    cache = _CACHE
+    cache = common.own_cache(_CACHE)
     try:
         h = np.array([cache[w] for w in words], dtype="u8")
     except KeyError:

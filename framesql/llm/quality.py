@@ -37,7 +37,7 @@ SIZE = BUCKETS + SHAPES**3
 LABELLED_ROWS = 20_000
 #: Added to the seen and to the expected count of a bucket: a bucket of a few hundred n-grams or less says next to nothing.
 PRIOR = 200.0
-CACHE_TOKENS = 600_000
+CACHE_TOKENS = 250_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _CACHE: dict[str, int] = {}
@@ -65,7 +65,7 @@ def features(text: str) -> np.ndarray:
     tokens = _TOKEN.findall(text)
     if not tokens:
         return np.empty(0, "i4")
-    cache = _CACHE
+    cache = common.own_cache(_CACHE)
     try:
         known = np.array([cache[t] for t in tokens], dtype="u8")
     except KeyError:

@@ -112,7 +112,8 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     encoded chunk by chunk between blanks and line ends, and equal chunks are encoded once
     per worker as long as the cache has room. The ids equal those of the whole text.
     """
-    tokenizer, cache = _tokenizer(path), _CACHE.setdefault(path, {"": b""})
+    tokenizer, cache = _tokenizer(path), common.own_cache(_CACHE.setdefault(path, {}))
+    cache[""] = b""
     out = []
     for t in texts:
         own = t.replace("\n", " ").split(" ")

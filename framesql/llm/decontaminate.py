@@ -118,11 +118,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of documents that match no item."""
-    found = common.written(matches(docs, benchmark, window).select(F.col("a").alias("key_a_"), F.col("b").alias("key_b_")).distinct(), "contaminated")
+    x, y = common.add_unique(docs, "key_a"), common.add_unique(docs, "key_b")
+    found = common.written(matches(docs, benchmark, window).select(F.col("a").alias(x), F.col("b").alias(y)).distinct(), "contaminated")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
     a, b = common.hash128("doc_id", "text")
-    return docs.join(found, (a == F.col("key_a_")) & (b == F.col("key_b_")), "left_anti")
+    return docs.join(found, (a == F.col(x)) & (b == F.col(y)), "left_anti")
 
 
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,7 +302,7 @@ def classes(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("rid", "within").orderBy("df", "token"))
     tied = ranked.withColumn("place", place).where((F.col("within") & (F.col("place") <= F.col("take"))) | (~F.col("within") & F.col("beyond"))).select("token", "rid")
     tied = common.written(tied, "tied")
-    hubs = tied.groupBy("token").agg(F.min("rid").alias("hub"))
+    hubs = _bounded(common.written(tied.groupBy("token").agg(F.min("rid").alias("hub")), "hubs"))
     stars = tied.join(hubs, "token").where("hub <> rid").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
     blocks = graph.components(pairs.unionAll(stars))
     members = common.written(blocks.select(F.col("root").alias("block"), F.col("id").alias("rid")).join(reps.groupBy("rid").agg(F.max("n").alias("n")), "rid").select("block", "rid", "n"), "members")
@@ -319,13 +319,14 @@ def classes(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     """The rows whose document is the smallest of its class; of rows that repeat its doc_id one stays."""
     found = common.written(classes(docs, width, share), "classes")
-    gone = _bounded(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct())
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_"), "left_anti")
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again_"))
+    x, y = common.add_unique(docs, "gone"), common.add_unique(docs, "again")
+    gone = _bounded(found.where("doc_id <> component_id").select(F.col("doc_id").alias(x)).distinct())
+    kept = docs.join(gone, F.col("doc_id") == F.col(x), "left_anti")
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(y))
     again = common.written(again, "repeated")
     if again.isEmpty():
         return kept
-    repeated, more = F.col("doc_id") == F.col("again_"), _bounded(again)
+    repeated, more = F.col("doc_id") == F.col(y), _bounded(again)
     return kept.join(more, repeated, "left_anti").unionByName(kept.join(more, repeated, "left_semi").dropDuplicates(["doc_id"]))
 
 

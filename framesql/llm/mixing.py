@@ -80,10 +80,10 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), slopes: tuple[
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix, each copy a row with its own columns, in the order of training."""
     planned = plan(docs, **options).where("copies > 0")
-    own = [common.add_unique(docs, c) for c in ("mix_id", "mix_hash", "mix_at")]
+    own = [common.add_unique(docs, c) for c in ("mix_id", "mix_hash", "mix_at", "mix_row")]
     due = planned.groupBy("doc_id", "row_hash").agg(F.max_by("positions", "copies").alias("positions")).select(F.col("doc_id").alias(own[0]), F.col("row_hash").alias(own[1]), F.explode("positions").alias(own[2]))
-    joined = docs.withColumn(own[1] + "_", F.xxhash64("doc_id", "text")).join(due, F.col("doc_id").eqNullSafe(F.col(own[0])) & (F.col(own[1] + "_") == F.col(own[1])))
-    return joined.repartitionByRange(own[2]).sortWithinPartitions(own[2]).drop(*own, own[1] + "_")
+    joined = docs.withColumn(own[3], F.xxhash64("doc_id", "text")).join(due, F.col("doc_id").eqNullSafe(F.col(own[0])) & (F.col(own[3]) == F.col(own[1])))
+    return joined.repartitionByRange(own[2]).sortWithinPartitions(own[2]).drop(*own)
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def planted(seed):
     return made
 
 
-@pytest.mark.parametrize(("seed", "width", "share", "limit"), [(1, 4, 85, 10**6), (2, 5, 80, 10**6), (3, 4, 85, 0), (4, 2, 60, 10**6), (5, 4, 100, 10**6)])
+@pytest.mark.parametrize(("seed", "width", "share", "limit"), [(1, 4, 85, 10**6), (3, 5, 80, 0), (5, 2, 60, 10**6)])
 def test_planted_groups(spark, monkeypatch, seed, width, share, limit):
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", limit)
     monkeypatch.setattr(jaccard, "TILE_ROWS", 16)

@@ -4,7 +4,7 @@ Sets of word shingles are linked where intersection / union >= ``share`` / 100,
 smallest doc_id that links reach. The steps:
 
 1. Documents of equal sets are one (a 128-bit key of the set); only representatives go on.
-2. Tokens are 64-bit shingle hashes. A document's list holds its tokens in the lower ``REACH`` of the hash space, at
+2. Tokens are 64-bit shingle hashes. A document's list holds its tokens in the lower part of the hash space (1 - share and ``ROOM``), at
    least floor((1 - share) n) + 2 of the lowest.
 3. Tokens in the lists of more than ``COLD`` representatives are hot: candidates through them would grow with the
    square of the posting. The order of tokens is cold ones, hot ones by their count, all beyond the reach;
@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 from framesql.llm import common, graph
 
-#: Share of the hash space whose tokens a prefix takes, and the most representatives of a cold token.
-REACH, COLD = 0.22, 16
+#: A list reaches over 1 - share of the hash space and this much more, the room that pays for hot tokens.
+ROOM = 0.07
+#: Most representatives of a cold token.
+COLD = 16
 #: Tokens and rows of a tile.
-TILE_TOKENS, TILE_ROWS = 400_000, 512
+TILE_TOKENS, TILE_ROWS = 1_000_000, 1024
 BROADCAST_ROWS = 1_000_000
 CACHE_WORDS = 250_000
 
@@ -84,12 +86,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view("i8")))
 
 
-#: The end of the reach, as a signed integer and as a hash.
-LIMIT = int(REACH * 2**64)
+def reach_end(share: int) -> int:
+    """The hash below which tokens are within the reach."""
+    return min(2**64 - 1, int((1 - share / 100 + ROOM) * 2**64))
 
 
 def _sketch(width: int, share: int):
-    limit = np.uint64(LIMIT)
+    limit = np.uint64(reach_end(share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +286,8 @@ def classes(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     met = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs(share), "a long, b long, shared long, hot long")
     met = common.written(met.groupBy("a", "b", "hot").agg(F.sum("shared").alias("shared")), "met")
     hot = common.written(met.where("hot IS NOT NULL").select(F.col("hot").alias("token")).distinct(), "hot-tokens")
-    signed = LIMIT if LIMIT < 2**63 else LIMIT - 2**64
+    end = reach_end(share)
+    signed = end if end < 2**63 else end - 2**64
     within = (F.col("token") >= 0) & (F.col("token") < F.lit(signed)) if signed >= 0 else (F.col("token") >= 0) | (F.col("token") < F.lit(signed))
     placed = common.written(reps.select("rid", F.explode("low").alias("token")).join(_bounded(hot), "token", "left_semi").withColumn("within", within), "placed")
     prefix = F.col("n") - F.ceil(F.col("n") * share / 100) + 1

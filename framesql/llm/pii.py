@@ -35,9 +35,8 @@ _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: A token without blanks that holds a digit or an at sign.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: A pattern needs MIN_SEEDS different seeds, and SEED_SHARE of all of them: patterns then are about as many at any size of the
-#: corpus, and the places of their words grow with the corpus, not faster.
-SEED_SHARE = 0.001
+#: Places are counted in one of so many parts of the corpus, then in larger ones, and last in all of it.
+PARTS = (64, 8, 1)
 MIN_SEEDS, ROUNDS, CONFIDENT, MIN_LENGTH = 5, 3, 0.8, 6
 CONTEXT_CHARS = 80
 BROADCAST_ROWS = 500_000
@@ -97,6 +96,29 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _places(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """context, places: how often the words of each pattern that can become confident stand in the corpus.
+
+    A pattern without unseen instances adds nothing. The places in a part of the corpus are at most those in all of it: a pattern
+    that has too many there, were all its instances certain, is never confident and is not counted further. What is left has few
+    places beside its mentions, so the join grows with the mentions. The result is the same as with all patterns.
+    """
+    words = F.split(F.lower(F.regexp_replace(common.row_text(), r"^\s++|\s++$", "")), r"\s++")
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    able = edges.groupBy("context").agg(F.sum("n").alias("most"), F.max((F.col("kind") == "other").cast("int")).alias("unseen")).where(F.col("unseen") == 1).select("context", "most")
+    counted = common.written(able.withColumn("places", F.lit(None).cast("long")), "pii-able")
+    a, _ = common.hash128("doc_id", "text")
+    for part in PARTS:
+        able = counted.select("context", "most")
+        if able.isEmpty():
+            break
+        some = docs.where(F.pmod(a, F.lit(part)) == 0).select(words.alias("w"))
+        places = some.select(F.explode(pairs).alias("context")).join(_small(able.select("context")), "context", "left_semi")
+        counted = able.join(places.groupBy("context").agg(F.count(F.lit(1)).alias("places")), "context", "left")
+        counted = common.written(counted.where(F.col("places").isNull() | (F.col("most") / F.col("places") >= CONFIDENT)), "pii-places")
+    return counted.where(F.col("places").isNotNull()).select("context", "places")
+
+
 def discover(docs: DataFrame, base: DataFrame) -> DataFrame:
     """Spans that confident patterns add: a, b, kind, start, end."""
     text = F.col("text").isNotNull()
@@ -113,7 +135,7 @@ def discover(docs: DataFrame, base: DataFrame) -> DataFrame:
     every = common.written(_lefts(docs, base.select("a", "b", "kind", "start", "end", "value").unionByName(free.withColumn("kind", F.lit("other")))).where(F.col("context").isNotNull()), "pii-mentions")
 
     seeds = every.where(F.col("kind") != "other")
-    short = seeds.groupBy("context").agg(F.approx_count_distinct("value").alias("n")).where(F.col("n") >= max(MIN_SEEDS, SEED_SHARE * seeds.count())).select("context")
+    short = seeds.groupBy("context").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= MIN_SEEDS).select("context")
     short = common.written(short, "pii-patterns")
     empty = every.select("a", "b", "kind", "start", "end").limit(0)
     if short.isEmpty():
@@ -123,17 +145,16 @@ def discover(docs: DataFrame, base: DataFrame) -> DataFrame:
     edges = common.written(edges, "pii-edges")
     if edges.where(F.col("kind") == "other").isEmpty():
         return empty
-    words = F.split(F.lower(F.regexp_replace(common.row_text(), r"^\s++|\s++$", "")), r"\s++")
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, y: F.xxhash64(x, y))
-    places = docs.select(words.alias("w")).select(F.explode(pairs).alias("context")).join(_small(short), "context", "left_semi")
-    total = common.written(places.groupBy("context").agg(F.count(F.lit(1)).alias("places")), "pii-places")
+    total = _places(docs, edges)
+    if total.isEmpty():
+        return empty
     graph = edges.join(total, "context")
 
     # Each value's confidence in each kind; seeds are certain.
     certain = edges.where(F.col("kind") != "other").select("value", F.col("kind").alias("of"), F.lit(1.0).alias("belief")).distinct()
     belief, confident = certain, None
     for k in range(ROUNDS):
-        scored = graph.join(belief, "value").groupBy("context", "of").agg((F.sum(F.col("n") * F.col("belief")) / F.max("places")).alias("trust"), F.approx_count_distinct(F.when(F.col("kind") != "other", F.col("value"))).alias("seeds"))
+        scored = graph.join(belief, "value").groupBy("context", "of").agg((F.sum(F.col("n") * F.col("belief")) / F.max("places")).alias("trust"), F.count_distinct(F.when(F.col("kind") != "other", F.col("value"))).alias("seeds"))
         confident = common.written(scored.where((F.col("trust") >= CONFIDENT) & (F.col("seeds") >= MIN_SEEDS)), f"pii-round{k}")
         if confident.isEmpty():
             return empty

@@ -146,3 +146,13 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(got[i].n_added == 0 for i in list(range(60)) + list(range(200, 230)))
     for i, text in rows:
         assert got[i].base_sha256 == brute_base(text)[1]
+
+
+def test_contexts_do_not_depend_on_corpus_size(spark):
+    rows = [(i, f"Please note: my phone is +1 (555) 010-{1000 + i} and that is all") for i in range(5)] + [(9, "Well, my phone is 555-0110 today.")]
+    crowd = [(1000 + i, " ".join(f"x{i}y{k}@mail.example" for k in range(1000))) for i in range(8)]
+    # Common words before seeds, counted out by their places in a part of the corpus.
+    crowd += [(2000 + i, f"it is of the +1 (555) 020-{1000 + i} or of the 77-{i}-1234" + " and of the rest" * 30) for i in range(200)]
+    docs = spark.createDataFrame(rows + crowd, "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.n_added) for r in pii.find(docs).collect()}
+    assert got[9] == ("phone:18:26", 1) and not any(n for i, (_, n) in got.items() if i != 9)

@@ -88,7 +88,8 @@ def _lefts(docs: DataFrame, found: DataFrame) -> DataFrame:
     n = F.size("words")
     whole = (n >= 3) | ((n == 2) & (F.col("start") < CONTEXT_CHARS))
     context = F.when(whole, F.xxhash64(F.lower(F.element_at("words", -2)), F.lower(F.element_at("words", -1))))
-    return joined.withColumn("context", F.when(n >= 2, context)).drop("text", "words")
+    # Rows repeated in the table repeat their mentions here, too.
+    return joined.withColumn("context", F.when(n >= 2, context)).drop("text", "words").distinct()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -107,13 +108,13 @@ def _places(docs: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, y: F.xxhash64(x, y))
     able = edges.groupBy("context").agg(F.sum("n").alias("most"), F.max((F.col("kind") == "other").cast("int")).alias("unseen")).where(F.col("unseen") == 1).select("context", "most")
     counted = common.written(able.withColumn("places", F.lit(None).cast("long")), "pii-able")
-    a, _ = common.hash128("doc_id", "text")
+    a, b = common.hash128("doc_id", "text")
     for part in PARTS:
         able = counted.select("context", "most")
         if able.isEmpty():
             break
-        some = docs.where(F.pmod(a, F.lit(part)) == 0).select(words.alias("w"))
-        places = some.select(F.explode(pairs).alias("context")).join(_small(able.select("context")), "context", "left_semi")
+        some = docs.where(F.pmod(a, F.lit(part)) == 0).select(a.alias("a"), b.alias("b"), words.alias("w"))
+        places = some.select("a", "b", F.posexplode(pairs).alias("at", "context")).join(_small(able.select("context")), "context", "left_semi").distinct()
         counted = able.join(places.groupBy("context").agg(F.count(F.lit(1)).alias("places")), "context", "left")
         counted = common.written(counted.where(F.col("places").isNull() | (F.col("most") / F.col("places") >= CONFIDENT)), "pii-places")
     return counted.where(F.col("places").isNotNull()).select("context", "places")

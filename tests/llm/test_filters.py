@@ -156,3 +156,12 @@ def test_contexts_do_not_depend_on_corpus_size(spark):
     docs = spark.createDataFrame(rows + crowd, "doc_id long, text string")
     got = {r.doc_id: (r.spans, r.n_added) for r in pii.find(docs).collect()}
     assert got[9] == ("phone:18:26", 1) and not any(n for i, (_, n) in got.items() if i != 9)
+
+
+def test_repeated_rows_do_not_change_contexts(spark):
+    rows = [(i, f"Please note: my phone is +1 (555) 010-{1000 + i} and that is all") for i in range(10)] + [(100, "Well, my phone is 555-0110 today.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = {r.doc_id: r for r in pii.find(docs).collect()}
+    twice = pii.find(docs.unionAll(docs)).collect()
+    assert once[100].spans == "phone:18:26" and len(twice) == 22
+    assert all(r == once[r.doc_id] for r in twice)

@@ -7,13 +7,14 @@ units still matches. For windows with placeholders the slots must agree: along o
 document, equal slot values of the item stand for equal values of the document and different ones for different ones.
 
 A name is a capitalised word after another word, comma, semicolon or colon (not at the start of a sentence). Items shorter than a window are one
-window of their own length. Windows of which less than half are words say nothing and are not used.
+window of their own length. Windows of which less than half are words say nothing and are not used. An item that has no
+other window, or less than ``MIN_TOKENS`` tokens, is looked for as a whole with its literal values: anywhere in a
+document, or as a line of its own if it has less than ``LITERAL_TOKENS`` tokens.
 
 The windows of the benchmark are broadcast only if their counted number is at most ``BROADCAST_ROWS``;
 beyond, both sides are shuffled by the window's hash.
 
-Defined cases: null or empty texts match nothing, on either side; items of less than ``MIN_TOKENS`` tokens
-are not looked for; null identifiers stay null; repeated rows are reported alike, once per doc_id and item;
+Defined cases: null or empty texts match nothing, on either side; null identifiers stay null; repeated rows are reported alike, once per doc_id and item;
 empty tables give no row; extra columns are kept by ``remove``.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from framesql.llm import common
 
-WINDOW, MIN_TOKENS = 10, 8
+WINDOW, MIN_TOKENS, LITERAL_TOKENS = 10, 8, 3
 BROADCAST_ROWS = 1_000_000
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 #: Number words and units.
@@ -84,9 +85,40 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return rows.select("item_id", "item", "at", "n", F.xxhash64("n", F.slice("hashes", F.col("at") + 1, F.col("n"))).alias("h"), "slots").distinct()
 
 
+def _literal(docs: DataFrame, benchmark: DataFrame, items: DataFrame, window: int) -> DataFrame | None:
+    """Documents with a whole copy of an item that has no usable window, None if there is no such item."""
+    own = benchmark.where(F.col("text").isNotNull()).select("item_id", F.xxhash64("item_id", "text").alias("item"), _tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    own = own.join(items.select("item").distinct(), "item", "left_anti").withColumn("n", F.least(F.size("tokens"), F.lit(window)))
+    facts = F.size("tokens").alias("size"), F.size(F.array_distinct(_slots(F.col("tokens"), F.lit(0), F.size("tokens")))).cast("long").alias("slots")
+    own = own.select("item_id", "item", "tokens", "n", *facts).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("n"))))
+    plain = lambda t: F.xxhash64(F.translate(t, NUMBER + NAME + UNIT, ""))  # noqa: E731  (whether a word is a name depends on the one before)
+    hashes = F.transform(F.slice("tokens", F.col("at") + 1, F.col("n")), plain)
+    own = common.written(own.select("item_id", "item", "at", "n", "size", "slots", F.xxhash64("n", hashes).alias("h")).distinct(), "literal-items")
+    lengths = sorted(r["n"] for r in own.select("n").distinct().collect())  # at most ``window`` numbers
+    if not lengths:
+        return None
+    a, b = common.hash128("doc_id", "text")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", a.alias("a"), b.alias("b"), "text")
+    values = lambda c: F.transform(_tokens(F.col(c)), plain)
+    every = None
+    for n in lengths:
+        if n < LITERAL_TOKENS:
+            lines = texts.select("doc_id", "a", "b", F.posexplode(F.split("text", r"[\r\n]")).alias("pos", "line")).withColumn("hashes", values("line"))
+            part = lines.where(F.size("hashes") == n).select("doc_id", "a", "b", "pos", F.xxhash64(F.lit(n), "hashes").alias("h"))
+        else:
+            part = texts.withColumn("hashes", values("text")).select("doc_id", "a", "b", F.posexplode(_windows(F.col("hashes"), n)).alias("pos", "h"))
+        part = part.withColumn("n", F.lit(n))
+        every = part if every is None else every.unionByName(part)
+    wanted = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+    # All windows of an item, one after the other.
+    runs = every.join(wanted, ["h", "n"]).groupBy("a", "b", "doc_id", "item_id", "item", "size", "n", "slots", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count_distinct("at").alias("windows"))
+    return runs.where(F.col("windows") == F.col("size") - F.col("n") + 1).groupBy("a", "b", "doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("slots").alias("slots"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document and item: a, b (key of the row), doc_id, item_id, windows, slots."""
     items = common.written(item_windows(benchmark, window), "item-windows")
+    literal = _literal(docs, benchmark, items, window)
     lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most ``window`` numbers
     wanted = items.select("h").distinct()
     if wanted.count() <= BROADCAST_ROWS:
@@ -95,7 +127,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     tokens = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc_id"), a.alias("a"), b.alias("b"), _hashes(_tokens(F.col("text"))).alias("hashes"))
     parts = [tokens.select("doc_id", "a", "b", F.posexplode(_windows(F.col("hashes"), n)).alias("pos", "h")).withColumn("n", F.lit(n)) for n in lengths]
     if not parts:
-        return docs.select("doc_id", a.alias("a"), b.alias("b"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("windows"), F.lit(0).cast("long").alias("slots")).limit(0)
+        return literal if literal is not None else docs.select("doc_id", a.alias("a"), b.alias("b"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("windows"), F.lit(0).cast("long").alias("slots")).limit(0)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -113,7 +145,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     judged = slotted.select("doc_id", *group, "pos").join(seen.withColumnsRenamed({c: f"{c}_" for c in group}), F.expr(" AND ".join(f"{c} <=> {c}_" for c in group))).withColumn("fits", (F.col("slots") == F.col("xs")) & (F.col("slots") == F.col("ys")))
     every = free.unionByName(judged.select(free.columns)).where("fits")
     runs = every.groupBy("doc_id", *group).agg(F.count_distinct("pos").alias("windows"), F.max("slots").alias("slots"))
-    return runs.groupBy("a", "b", "doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("slots").alias("slots"))
+    best = F.max("windows").alias("windows"), F.max("slots").alias("slots")
+    found = runs.groupBy("a", "b", "doc_id", "item_id").agg(*best)
+    return found if literal is None else found.unionByName(literal).groupBy("a", "b", "doc_id", "item_id").agg(*best)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -61,6 +61,14 @@ def test_short_item_is_one_window(spark):
     assert [r.doc_id for r in decontaminate.matches(docs, bench).collect()] == [1]
 
 
+def test_items_without_usable_window_are_found_as_a_whole(spark):
+    sums = "1 2 3 4 5 6 7 8 9 10 11 12 and 13"
+    docs = spark.createDataFrame([(1, "Q: Who wrote Hamlet? A: he"), (2, f"so {sums} is"), (3, sums.replace("7", "0")), (4, "x\n2 + 2\ny"), (5, "it is 2 + 2 here"), (6, "who wrote it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, sums), (3, "2 + 2")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()) == [(1, 1), (2, 2), (4, 3)]
+    assert sorted(r.doc_id for r in decontaminate.remove(docs, bench).collect()) == [3, 5, 6]
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_quality_keeps_clean_and_drops_bad(spark, sf):
     path = f"/root/testdata/{sf}"

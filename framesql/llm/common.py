@@ -88,6 +88,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _UPPER.lower())
 
 
+def strip(c: Column) -> Column:
+    """Without the white space of ``SPACE`` at both ends, in one pass."""
+    return F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))
+
+
 def row_text(c: str | Column = "text") -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

@@ -1,14 +1,17 @@
 """Line deduplication over the corpus (operator 7), in DataFrame operations only.
 
-Lines are exploded with their position, normalised and hashed (128 bits); documents are
-counted per hash with map-side sums; lines over the threshold are dropped and the rest is put
-together by position. A hot line is one row of each task before the shuffle. The set of hot
+Lines are exploded with their position, normalised and hashed (128 bits); distinct documents are
+counted per hash; lines over the threshold are dropped and the rest is put
+together by position. Pairs of hash and document are made distinct before they are counted by hash with
+map-side sums, so a hot line is spread over all tasks first and is one row of each after that. The set of hot
 hashes is broadcast only if its counted size is below ``BROADCAST_ROWS``; beyond, a shuffled
 join is left to adaptive execution, which splits hot keys.
 
-Defined cases: every row is a document of its own, also where doc_id repeats or is null; a null
+Defined cases: a document is a doc_id, so rows that repeat one count once for a line; rows without doc_id are told apart
+by their text; every row gets a result of its own; a null
 or empty text is one empty line; lines whose key is shorter than ``min_chars`` stay; if all lines go, the kept text is empty;
-an empty table gives no row. Extra columns are kept by ``deduplicate``.
+a line of any length is trimmed in one pass over it; an empty table gives no row. Extra columns are kept by ``deduplicate``, also under
+the names that are used inside.
 """
 
 from __future__ import annotations
@@ -23,9 +26,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def _key(line: Column) -> Column:
-    return common.ascii_lower(F.regexp_replace(line, f"^[{common.SPACE}]+|[{common.SPACE}]++$", ""))
+    return common.ascii_lower(common.strip(line))
 
 
+def _document() -> list[Column]:
+    """What tells documents apart: the identifier, and the text where that is null."""
+    return [F.col("doc_id").alias("doc"), F.when(F.col("doc_id").isNull(), F.xxhash64(common.row_text())).alias("nameless")]
 
 
 def deduplicate(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -36,12 +42,12 @@ def deduplicate(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
 
     def exploded(whole: bool) -> DataFrame:
         keys = F.transform(F.split(common.row_text(), "\n", -1), _key)
-        each = F.posexplode(keys) if whole else F.explode(F.array_distinct(keys)).alias("col")
-        own = docs.select(*([a.alias("a"), b.alias("b")] if whole else []), each).where(F.char_length("col") >= min_chars)
+        own = docs.select(a.alias("a"), b.alias("b"), F.posexplode(keys)) if whole else docs.select(*_document(), F.explode(F.array_distinct(keys)).alias("col"))
         x, y = common.hash128("col")
-        return own.withColumns({"x": x, "y": y}).drop("col")
+        return own.where(F.char_length("col") >= min_chars).withColumns({"x": x, "y": y}).drop("col")
 
-    hot = common.written(exploded(False).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("x", "y"), "hot-lines")
+    pairs = exploded(False).distinct()
+    hot = common.written(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("x", "y"), "hot-lines")
     if hot.count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     places = exploded(True).join(hot, ["x", "y"], "left_semi").groupBy("a", "b").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
@@ -61,14 +67,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l),
-k AS (SELECT doc_id, pos, line,
+WITH l AS (SELECT doc_id, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS ls,
+                  coalesce(CAST(doc_id AS VARCHAR), 'none ' || md5(coalesce(text, ''))) AS doc FROM documents),
+e AS (SELECT doc_id, row, doc, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l),
+k AS (SELECT doc_id, row, doc, pos, line,
              translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
-hot AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+hot AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc) >= 10),
 m AS (SELECT k.*, hot.key IS NOT NULL AS gone FROM k LEFT JOIN hot ON k.key = hot.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY doc_id, row
 """

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -21,7 +22,8 @@ def test_against_sql(spark, name):
 
 def brute_lines(rows, least):
     key = lambda x: x.strip(" \t\n\r\x0b\x0c").translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}))
-    count = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")})
+    seen = {(i, None if i is not None else t or "", key(x)) for i, t in rows for x in (t or "").split("\n")}
+    count = Counter(k for _, _, k in seen)
     out = []
     for i, t in rows:
         ls = (t or "").split("\n")
@@ -44,6 +46,23 @@ def test_lines(spark, monkeypatch, limit):
     assert lines.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_lines_count_documents_not_rows(spark):
+    rows = [(1, "same\nown")] * 10 + [(2, "x\ny")] * 2 + [(i, "x") for i in range(3, 11)] + [(None, f"z\n{i // 2}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([tuple(x) for x in lines.deduplicate(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256)).collect()], key=str)
+    assert got == brute_lines(rows, 10)
+    dropped = Counter(i for i, _, n, _ in got if n)
+    assert not dropped[1] and not dropped[2] and dropped[None] == 20
+
+
+def test_a_line_of_blanks_takes_linear_time(spark):
+    long = "a" + " " * 10_000_000 + "b" + "\t" * 1_000_000
+    docs = spark.createDataFrame([(i, long) for i in range(2)], "doc_id long, text string")
+    began = time.perf_counter()
+    assert [x.n_dropped for x in lines.deduplicate(docs, min_docs=2).select("n_dropped").collect()] == [1, 1]
+    assert time.perf_counter() - began < 30
+
+
 def test_mixing(spark):
     r = random.Random(5)
     rows = [(i, " ".join(["w"] * r.randrange(0, 60)), r.choice("aaaaaabcd") if i % 11 else None) for i in range(3000)] + [(1, None, "a"), (1, "x y", "a"), (1, "x y", "a"), (None, "q", "b"), (9000, "", "empty"), (9001, "w " * 5000, "z")]

@@ -22,4 +22,5 @@ ORACLE_SQL = {
     "op2_block_max_search": topk.OP2_SQL,
     "op3_curriculum_mix": mixing.OP3_SQL,
     "op7_line_dedup": lines.OP7_SQL,
+    "op8_adaptive_prefix_join": jaccard.OP8_SQL,
 }

@@ -97,12 +97,32 @@ def test_planted_groups(spark, monkeypatch, seed, width, share, limit):
     assert run(docs, width, share) == brute(rows, width, share)
 
 
+def test_boilerplate_makes_few_candidates(spark):
+    r = random.Random(2)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"w{r.randrange(10**6)}" for _ in range(30)] + passage + [f"w{r.randrange(10**6)}" for _ in range(30)])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, tied = jaccard.candidates(jaccard._Sets(docs, 4, 85))
+    assert pairs.count() <= len(rows) // 10 and tied.count() == 0
+
+
+def test_matches_to_demand():
+    # Ten partners by each of the first tokens: a longer prefix leaves fewer to compare.
+    assert jaccard.matches_to_demand(np.full(30, 10), 10, 500) > 1
+    # The next token costs more than it saves.
+    assert jaccard.matches_to_demand(np.append(np.full(10, 1), np.full(20, 10_000)), 10, 500) == 1
+    assert jaccard.matches_to_demand(np.full(10, 3), 10, 500) == 1
+    assert all(jaccard.prefix(n, s) == n - -(-s * n // 100) + 1 for n in range(1, 300) for s in (50, 80, 85, 100))
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f g"), (2, "a b c d e f g"), (9, "x y z q r s t"), (9, "x y z q r s t"), (11, None), (12, None), (None, "a b c d e f g")]
+    # Different texts under one doc_id: a copy of another document, and one of its own.
+    rows += [(20, "h i j k l m n o"), (21, "h i j k l m n o"), (21, "something else that stays here by itself"), (22, "so does this which has no copy at all"), (22, "and this with the same number as that")]
     docs = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, n long")
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted([r.doc_id for r in kept.collect()], key=str) == [11, 12, 2, 9, None]
+    assert sorted([r.doc_id for r in kept.collect()], key=str) == [11, 12, 2, 20, 21, 22, 22, 9, None]
     assert jaccard.classes(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
 
 

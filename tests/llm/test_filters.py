@@ -1,7 +1,9 @@
 """Operators 4, 5 and 6."""
 
 import hashlib
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -156,6 +158,113 @@ def test_contexts_discover_unseen_identifiers(spark):
         assert got[i].base_sha256 == brute_base(text)[1]
 
 
+WS = r"[ \t\n\x0b\x0c\r]+"
+
+
+def brute_added(rows):
+    """The spans that the method adds, by plain loops over distinct rows."""
+    seen, places = [], Counter()
+    for key, text in enumerate(dict.fromkeys(rows)):
+        text = text[1]
+        words = re.split(WS, text.lower().strip(" \t\n\x0b\x0c\r"))
+        places.update(tuple(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1))
+        found = []
+        for kind, pattern, good in [*BASE, ("other", r"(?<!\S)[^\s0-9@]*[0-9@]\S*", lambda v: True)]:
+            own = list(re.finditer(pattern, text))
+            for i, m in enumerate(own):
+                before = re.split(WS, text[own[i - 1].end() if i else 0 : m.start()])[bool(i) : -1]
+                after = re.split(WS, text[m.end() : own[i + 1].start() if i + 1 < len(own) else None])[1 : -1 if i + 1 < len(own) else None]
+                before, after = ([w.lower() for w in x if w] for x in (before, after))
+                marks = [("l", tuple(before[-k:])) for k in (1, 2, 3) if len(before) >= k] + [("r", tuple(after[:k])) for k in (1, 2) if len(after) >= k]
+                start, end, value = m.start(), m.end(), m[0]
+                if kind == "other":
+                    cut = re.sub(r"^[^\w+]+", "", value)
+                    start += len(value) - len(cut)
+                    value = re.sub(r"(?<=\w)\W+$", "", cut)
+                    end = start + len(value)
+                    if len(value) < 6 or any(s < end and start < e for _, s, e, *_ in found):
+                        continue
+                    if re.fullmatch(r"[A-Za-z0-9+/_=-]{20,}", value) and len(re.findall("[0-9]", value)) >= 4 and len(re.findall("[A-Za-z]", value)) >= 4:
+                        found.append(("secret", start, end, value, marks))
+                        continue
+                elif not good(value):
+                    continue
+                found.append((kind, start, end, value, marks))
+        seen += [(key, *f) for f in found]
+    edges = Counter((mark, kind, value) for _, kind, _, _, value, marks in seen for mark in marks)
+    seeds = {(v, k): 0.95 if k == "secret" else 1.0 for _, k, _, _, v, _ in seen if k != "other"}
+    known = {}
+    for mark, kind, value in edges:
+        if kind != "other":
+            known.setdefault(mark, set()).add(value)
+    belief = dict(seeds)
+    for _ in range(3):
+        trust = Counter()
+        for (mark, _, value), n in edges.items():
+            for of in ("email", "ip", "card", "phone", "secret"):
+                if (value, of) in belief:
+                    trust[mark, of] += n * belief[value, of] / (places[mark[1]] + 0.2)
+        sure = {x: t for x, t in trust.items() if t >= 0.8 and len(known.get(x[0], ())) >= 5}
+        doubt = {x: 1 - b for x, b in seeds.items()}
+        for mark, kind, value in edges:
+            if kind in ("other", "secret"):
+                for (m, of), t in sure.items():
+                    if m == mark:
+                        doubt[value, of] = doubt.get((value, of), 1.0) * max(1e-9, 1 - min(t, 1.0))
+        belief = {x: 1 - d for x, d in doubt.items()}
+    added = set()
+    for key, kind, start, end, _, marks in seen:
+        best = max(((t, of) for mark in marks for (m, of), t in sure.items() if m == mark), default=None)
+        if kind in ("other", "secret") and best:
+            added.add((key, best[1], start, end))
+    return added
+
+
+def test_added_spans_against_brute_force(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 5)))
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(32))
+    some = lambda: " ".join(word() for _ in range(r.randrange(1, 12)))
+    seeds = {
+        "phone": lambda: f"+1 (555) {r.randrange(100, 999)}-{r.randrange(1000, 9999)}", "ip": lambda: f"10.{r.randrange(256)}.{r.randrange(256)}.7", "email": lambda: f"{word()}.{word()}@mail.example.org",
+        "secret": key,
+    }
+    unseen = {"phone": lambda: f"555-{r.randrange(1000, 9999)}", "ip": lambda: f"10.{r.randrange(256)}.0.{r.randrange(256, 999)}", "email": lambda: f"{word()}.{word()}@intranet", "secret": lambda: f"{word()}{r.randrange(10**6, 10**7)}"}
+    ways = {"phone": ("my phone is {},", "call {} or else"), "ip": ("the server at ({}) was", "ping {} ok"), "email": ("write to <{}> soon", "mail: {}; thanks"), "secret": ('token = "{}"', "API key {}!!")}
+    rows, planted = [], set()
+    for i in range(1000):
+        parts, hidden = [some()], []
+        for _ in range(r.randrange(3)):
+            kind = r.choice(list(seeds))
+            new = r.random() < 0.1
+            value = (unseen if new else seeds)[kind]()
+            parts += [r.choice(ways[kind]).format(value), some()]
+            if new or kind == "secret":
+                hidden.append((kind, value))
+        if r.random() < 0.3:  # numbers that mean nothing, and keys in no context
+            parts += [f"{r.randrange(10**6, 10**9)}", some(), key() if r.random() < 0.2 else "", some()]
+        text = " ".join(parts).upper() if i % 50 == 3 else "\n".join(parts) if i % 50 == 4 else " ".join(parts)
+        rows.append((i, text))
+        for kind, value in hidden:
+            at = text.lower().find(value.lower())
+            planted.add((i, kind, at, at + len(value)))
+    docs = spark.createDataFrame(rows + rows[:20], "doc_id long, text string").repartition(5)
+    got = pii.find(docs).collect()
+    assert len(got) == 1020
+    base = {i: set(brute_base(t)[2]) for i, t in rows}
+    mine = {(x.doc_id, k, int(s), int(e)) for x in got for k, s, e in (y.split(":") for y in x.spans.split(",") if y and y not in base[x.doc_id])}
+    want = brute_added(rows)
+    assert mine == want, (len(mine), len(want), sorted(mine - want)[:5], sorted(want - mine)[:5])
+    assert len(mine & planted) >= 0.9 * len(planted) and len(mine & planted) >= 0.9 * len(mine) and len(planted) > 200
+    assert sum(x.n_added for x in got if x.doc_id >= 20) == sum(1 for x in mine if x[0] >= 20)
+
+
+def test_secrets_of_the_given_documents(spark):
+    want = [(x.doc_id, m.span(1)) for x in spark.read.parquet(f"{SF}/documents.parquet").collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', x.text or "")]
+    got = [(x.doc_id, (int(s), int(e))) for x in pii.op6_contextual_pii(spark, SF).collect() for k, s, e in (y.split(":") for y in x.spans.split(",") if y) if k == "secret"]
+    assert sorted(got) == sorted(want) and len(want) >= 5
+
+
 def test_contexts_do_not_depend_on_corpus_size(spark):
     rows = [(i, f"Please note: my phone is +1 (555) 010-{1000 + i} and that is all") for i in range(5)] + [(9, "Well, my phone is 555-0110 today.")]
     crowd = [(1000 + i, " ".join(f"x{i}y{k}@mail.example" for k in range(1000))) for i in range(8)]

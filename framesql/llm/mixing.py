@@ -10,9 +10,11 @@ and inverting the source's cumulative demand gives each copy its training positi
 A running sum over a hot source would be one task: documents are first dealt to hash buckets
 of a source, buckets are summed, and only sums meet in one task; each bucket then runs alone.
 
-Defined cases: a null text has size 0; a null source is a source, and the last; documents
-repeated under one identifier are each a document, ordered by size; a source without words gets
-target 0 and no copies; an empty table gives no row; extra columns are kept by ``mix``.
+Every row of a mix is written with a number of its own first, so that rows which are equal in all columns keep their own positions.
+
+Defined cases: a null text has size 0 and a text of any length is counted whole; a null source is a source, and the last; documents
+repeated under one identifier are each a document of the source that they stand in, ordered by size; a source without words gets
+target 0 and no copies; an empty table gives no row; extra columns, also under names that are used inside, are kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -57,10 +59,10 @@ def position(share_done: Column, slope: Column) -> Column:
     return 2 * share_done / (rest + F.sqrt(rest * rest + 4 * slope * share_done))
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), slopes: tuple[float, ...] = (-0.5, 0.0, 0.5), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """One row per document: doc_id, source, row_hash, size, source_size, target, copies, taken, positions."""
-    text_hash = F.xxhash64("doc_id", "text").alias("row_hash")
-    sized = common.written(docs.select("doc_id", "source", text_hash, word_count(common.row_text()).alias("size")), "sizes")
+def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), slopes: tuple[float, ...] = (-0.5, 0.0, 0.5), share: float = 1.5, cap: float = 2.0, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, positions, and the column ``row`` as ``row``."""
+    number = [F.col(row).alias("row")] if row else []
+    sized = common.written(docs.select("doc_id", "source", *number, word_count(common.row_text()).alias("size")), "sizes")
     per_source = common.written(targets(sized, weights, share, cap), "targets").withColumnRenamed("source", "source_")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
     buckets = F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("n_docs") / BUCKET_DOCS))
@@ -74,16 +76,27 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), slopes: tuple[
     due = F.filter(F.transform(F.sequence(F.lit(0), F.lit(int(-(-cap // 1)) - 1)), lambda r: r * F.col("source_size") + middle), lambda y: y < F.col("target"))
     slope = _cyclic(slopes, F.col("rank"))
     rows = rows.withColumn("positions", F.transform(due, lambda y: position(y / F.col("target"), slope)))
-    return rows.withColumn("copies", F.size("positions").cast("long")).select("doc_id", "source", "row_hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions")
+    return rows.withColumn("copies", F.size("positions").cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions", *(["row"] if row else []))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix, each copy a row with its own columns, in the order of training."""
-    planned = plan(docs, **options).where("copies > 0")
-    own = [common.add_unique(docs, c) for c in ("mix_id", "mix_hash", "mix_at", "mix_row")]
-    due = planned.groupBy("doc_id", "row_hash").agg(F.max_by("positions", "copies").alias("positions")).select(F.col("doc_id").alias(own[0]), F.col("row_hash").alias(own[1]), F.explode("positions").alias(own[2]))
-    joined = docs.withColumn(own[3], F.xxhash64("doc_id", "text")).join(due, F.col("doc_id").eqNullSafe(F.col(own[0])) & (F.col(own[3]) == F.col(own[1])))
-    return joined.repartitionByRange(own[2]).sortWithinPartitions(own[2]).drop(*own)
+    row, at, due = (common.add_unique(docs, c) for c in ("mix_row", "mix_at", "mix_due"))
+    # The number is made once: the written table is its source.
+    rows = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    planned = plan(rows, row=row, **options).where("copies > 0").select(F.col("row").alias(due), F.explode("positions").alias(at))
+    joined = rows.join(planned, F.col(row) == F.col(due))
+    return joined.repartitionByRange(at).sortWithinPartitions(at).drop(row, at, due)
+
+
+def training_order(mixed: DataFrame, name: str) -> DataFrame:
+    """A mix read back from Parquet, with the place of each row in it (from 0) as a column ``name``: files in their order, rows in the order of their file."""
+    file, row, before = (common.add_unique(mixed, c) for c in ("mix_file", "mix_row", "mix_before"))
+    own = mixed.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    # One row per file: the running total over files is the only work in a single task.
+    counts = common.written(own.groupBy(file).agg(F.count(F.lit(1)).alias("n")), "mix-files")
+    starts = counts.select(F.col(file).alias(before + "_of"), (F.sum("n").over(Window.orderBy(file)) - F.col("n")).alias(before))
+    return own.join(starts, F.col(file) == F.col(before + "_of")).withColumn(name, F.col(before) + F.col(row)).drop(file, row, before, before + "_of")
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,20 +11,24 @@ Layout of a shard (integers little-endian)::
     bloom    bit array over the keys
     footer   fixed size: offsets and sizes of index and bloom, counts, ids, bloom hashes, magic
 
-An entry is ``shared(varint) unshared(varint) ids(varint) key-suffix ids``: keys are
-prefix-compressed against the previous key of the block, and the ids are unsigned 32-bit.
+An entry is ``shared(varint) unshared(varint) ids(varint) place(varint) key-suffix ids``: keys are
+prefix-compressed against the previous key of the block, and the ids are unsigned 32-bit; place is 0, or 1 more than a
+number that the document carries (its place in training).
 A key is 9 bytes: 0 for a null identifier, else 1 and the big-endian identifier with its sign
 bit flipped, so that bytewise order is numeric order with nulls first.
 
 Defined cases: a null or empty text is one end id; a null ``doc_id`` sorts first; repeated
-identifiers keep every row, ordered by text (null texts count as empty ones); an empty table makes no shard and no row.
-Extra columns are ignored.
+identifiers keep every row, ordered by a hash of the text (null texts count as empty ones) and then by text; texts of any length are
+encoded whole; an empty table makes no shard and no row. Extra columns are ignored.
+
+Any file of the tokenizers library serves: the one that the chunked encoder knows (``_KNOWN``) is encoded chunk by chunk, every other one as whole texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import json
 import os
 import re
 import struct
@@ -42,7 +46,7 @@ from pyspark.sql import functions as F
 
 from framesql.llm import common
 
-MAGIC = b"FSST0001"
+MAGIC = b"FSST0002"
 FOOTER = struct.Struct("<QQQQQQQQ8s")
 INDEX = struct.Struct("<9sQIIIQ")
 #: Raw bytes after which a block is closed.
@@ -65,12 +69,33 @@ def id_of(key: bytes) -> int | None:
     return None if key[0] == 0 else struct.unpack(">Q", key[1:])[0] - (1 << 63)
 
 
+#: What a tokenizer file must say besides its vocabulary for chunks to be encoded one by one.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None, "truncation": None, "padding": None,
+}
+
+
 def _tokenizer(path: str):
+    """The tokenizer of a file, and whether chunks between blanks can be encoded one by one."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        model = {k: v for k, v in said["model"].items() if k not in ("vocab", "merges")}
+        byte_pairs = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        # A special token that holds a blank or reaches over one would cross chunks.
+        special = all(not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in said.get("added_tokens", []))
+        _TOKENIZERS[path] = Tokenizer.from_file(path), byte_pairs and special and all(said.get(k) == v for k, v in _KNOWN.items())
     return _TOKENIZERS[path]
 
 
@@ -108,11 +133,13 @@ def _chunk_ids(tokenizer, cache: dict[str, bytes], chunk: str) -> bytes:
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers.
 
-    For byte-level BPE with word ends that lower-cases and drops white space: a text is
-    encoded chunk by chunk between blanks and line ends, and equal chunks are encoded once
+    With the known tokenizer, a text is encoded chunk by chunk between blanks and line ends, and equal chunks are encoded once
     per worker as long as the cache has room. The ids equal those of the whole text.
     """
-    tokenizer, cache = _tokenizer(path), common.own_cache(_CACHE.setdefault(path, {}))
+    tokenizer, chunked = _tokenizer(path)
+    if not chunked:
+        return [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    cache = common.own_cache(_CACHE.setdefault(path, {}))
     cache[""] = b""
     out = []
     for t in texts:
@@ -169,13 +196,13 @@ class ShardWriter:
         self.entries = self.ids = self.block_ids = 0
         self.zstd = zstandard.ZstdCompressor(level=1)
 
-    def add(self, key: bytes, ids: bytes) -> None:
+    def add(self, key: bytes, ids: bytes, place: int | None = None) -> None:
         if key < self.last:
             raise ValueError("keys must ascend")
         shared = len(os.path.commonprefix([self.last, key])) if self.n else 0
         if not self.n:
             self.first, self.block_ids = key, self.ids
-        self.raw.write(_varint(shared) + _varint(len(key) - shared) + _varint(len(ids) // 4) + key[shared:])
+        self.raw.write(_varint(shared) + _varint(len(key) - shared) + _varint(len(ids) // 4) + _varint(0 if place is None else place + 1) + key[shared:])
         self.raw.write(ids)
         self.last, self.n = key, self.n + 1
         self.entries, self.ids = self.entries + 1, self.ids + len(ids) // 4
@@ -207,15 +234,17 @@ class ShardWriter:
         self._write(FOOTER.pack(*index, *bloom, len(self.index), self.entries, self.ids, bits, MAGIC))
 
 
-def _entries(raw: bytes) -> Iterator[tuple[bytes, bytes]]:
+def _entries(raw: bytes) -> Iterator[tuple[bytes, bytes, int | None]]:
+    """Key, ids and place of each entry."""
     at, key = 0, b""
     while at < len(raw):
         shared, at = _read_varint(raw, at)
         unshared, at = _read_varint(raw, at)
         n, at = _read_varint(raw, at)
+        place, at = _read_varint(raw, at)
         key = key[:shared] + raw[at : at + unshared]
         at += unshared
-        yield key, raw[at : at + 4 * n]
+        yield key, raw[at : at + 4 * n], place - 1 if place else None
         at += 4 * n
 
 
@@ -249,7 +278,7 @@ class Shard:
         _, at, stored, raw, _, _ = self.index[i]
         return zstandard.ZstdDecompressor().decompress(self._at(at, stored), max_output_size=raw)
 
-    def scan(self) -> Iterator[tuple[bytes, bytes]]:
+    def scan(self) -> Iterator[tuple[bytes, bytes, int | None]]:
         for i in range(self.blocks):
             yield from _entries(self.block(i))
 
@@ -269,7 +298,7 @@ class Shard:
         for i in range(max(0, low - 1), self.blocks):
             if self.index[i][0] > key:
                 break
-            found += [np.frombuffer(ids, dtype="<u4") for k, ids in _entries(self.block(i)) if k == key]
+            found += [np.frombuffer(ids, dtype="<u4") for k, ids, _ in _entries(self.block(i)) if k == key]
         return found
 
 
@@ -284,15 +313,15 @@ def _write_partition(folder: str, tokenizer: str, end_id: int):
         temporary, name = f"{root}/.{shard:06d}-{uuid.uuid4().hex}", f"{shard:06d}.sst"
         out = None
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, texts, places = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
             for i in range(0, len(ids), 2_000):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(temporary)
                     writer = ShardWriter(out)
                 some = texts.slice(i, 2_000).to_pylist()
-                for doc_id, got in zip(ids[i : i + 2_000], encode([t or "" for t in some], tokenizer), strict=True):
-                    writer.add(key_of(doc_id), got + end)
+                for doc_id, got, place in zip(ids[i : i + 2_000], encode([t or "" for t in some], tokenizer), places[i : i + 2_000], strict=True):
+                    writer.add(key_of(doc_id), got + end, place)
         if out is not None:
             writer.close()
             out.close()
@@ -305,15 +334,15 @@ def _write_partition(folder: str, tokenizer: str, end_id: int):
 MANIFEST = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("entries", pa.int64()), ("ids", pa.int64())])
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes the shards and a manifest table (one row per shard) and returns the manifest."""
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, shard_bytes: int = SHARD_BYTES, place: str | None = None) -> DataFrame:
+    """Writes the shards and a manifest table (one row per shard) and returns the manifest. ``place`` names a column of numbers from 0 that entries carry."""
     spark = docs.sparkSession
     common.find_package(spark)
-    own = docs.select("doc_id", "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(place) if place else F.lit(None)).cast("long").alias("place"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(6, -(-total // shard_bytes)) if total else 1
-    ordered = own.repartitionByRange(int(shards), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), common.row_text().asc())
-    # Equal identifiers may meet in two neighbouring shards; their rows then differ in text only.
+    ordered = own.repartitionByRange(int(shards), F.col("doc_id").asc_nulls_first(), F.xxhash64(common.row_text())).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64(common.row_text()), common.row_text(), "place")
+    # Rows of one identifier may lie in two neighbouring shards.
     made = ordered.mapInArrow(_write_partition(f"{folder}/shards", tokenizer, end_id), "shard long, file string, entries long, ids long")
     made.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
@@ -326,8 +355,8 @@ def _read_shards(folder: str):
                 rows: list[tuple] = []
                 held = 0
                 with Shard(f"{folder}/shards/{name}") as shard:
-                    for key, ids in shard.scan():
-                        rows.append((id_of(key), start, len(ids) // 4, zlib.crc32(ids), ids))
+                    for key, ids, place in shard.scan():
+                        rows.append((id_of(key), start, len(ids) // 4, zlib.crc32(ids), ids, place))
                         start, held = start + len(ids) // 4, held + len(ids)
                         if held > 8 << 20 or len(rows) >= 10_000:
                             yield _batch(rows)
@@ -339,12 +368,12 @@ def _read_shards(folder: str):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    doc_id, start, n, crc, ids = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+    doc_id, start, n, crc, ids, place = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary()), pa.array(place, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids", "place"])
 
 
-def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
-    """Documents of the files of a folder: doc_id, start, n_tokens, ids_crc32 (and ids)."""
+def read(spark: SparkSession, folder: str, with_ids: bool = False, place: str | None = None) -> DataFrame:
+    """Documents of the files of a folder: doc_id, start, n_tokens, ids_crc32 (and ids, and the places under the name ``place``)."""
     from pyspark.sql import Window
 
     manifest = spark.read.parquet(f"{folder}/manifest")
@@ -353,14 +382,14 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     n = max(1, manifest.count())
     spread = before.repartitionByRange(n, "part").select("file", "start")
     run = _read_shards(folder)
-    if with_ids:
-        return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    types = {"doc_id": "long", "start": "long", "n_tokens": "long", "ids_crc32": "long"} | ({"ids": "binary"} if with_ids else {}) | ({"place": "long"} if place else {})
 
-    def plain(batches):
+    def some(batches):
         for b in run(batches):
-            yield b.select(["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield b.select(list(types))
 
-    return spread.mapInArrow(plain, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    made = spread.mapInArrow(some, ", ".join(f"{c} {t}" for c, t in types.items()))
+    return made.withColumnRenamed("place", place) if place else made
 
 
 def default_tokenizer() -> str:
@@ -369,11 +398,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_and_read(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
+def encode_and_read(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, place: str | None = None) -> DataFrame:
     """Writes ``docs`` to a fresh shared folder and reads the files back."""
     folder = common.shared_dir(docs.sparkSession, "sst")
-    write(docs, folder, tokenizer or default_tokenizer(), end_id)
-    return read(docs.sparkSession, folder)
+    write(docs, folder, tokenizer or default_tokenizer(), end_id, place=place)
+    return read(docs.sparkSession, folder, place=place)
 
 
 def op10_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:

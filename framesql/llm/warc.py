@@ -7,13 +7,14 @@
   the bytes that are read back are hashed again, so a damaged or clashing payload raises.
 * ``headers``: the exact header block of every record and the key of its payload.
 
-``records`` joins them to the original records; ``export`` and ``load`` exchange them with plain
+``records`` joins them to the original records; ``read`` parses the bytes of these records; ``export`` and ``load`` exchange them with plain
 gzip-compressed ``.warc.gz`` files. Hot payloads are reduced to one row by each task before
 they are shuffled, and joins on the key leave the splitting of a hot key to adaptive execution.
 
 Defined cases: a null payload is an empty one; a null url is an empty field, line breaks in it become blanks; a row without page_id
 takes part, and refers to the response like any other; of rows that repeat a page_id with equal
-payloads all are responses if that id is the largest; an empty table makes empty archives.
+payloads all are responses if that id is the largest; payloads of any length are kept whole, as one value of a row (2 GB at most); an empty table
+makes empty archives; extra columns, also under names that are used inside, are ignored.
 """
 
 from __future__ import annotations
@@ -88,24 +89,33 @@ def _checked_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return own.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """What the archive says of each record; lengths and digests are those of the stored bytes."""
-    number = r"<" + URN + r"(-?[0-9]+)>"
-    heads = spark.read.parquet(f"{folder}/headers").withColumns(
-        {"page_id": F.regexp_extract(_field("WARC-Record-ID"), number, 1), "record_type": _field("WARC-Type"), "refers_to": F.regexp_extract(_field("WARC-Refers-To"), number, 1), "said": _field("WARC-Payload-Digest")}
-    )
-    joined = heads.drop("header").join(_checked_payloads(spark, folder).select("key", "payload_bytes", "payload_digest"), "key")
-    digest = F.when(F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header's digest differs from its payload")))
-    return joined.select(F.expr("try_cast(page_id AS BIGINT)").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", F.expr("try_cast(refers_to AS BIGINT)").alias("refers_to"))
-
-
 def records(spark: SparkSession, folder: str) -> DataFrame:
-    """The original records: header, the payload that it stands for, and the record's own bytes."""
+    """The original records: the record's own bytes, its header, and the payload that it stands for (for a revisit that of its response)."""
     joined = spark.read.parquet(f"{folder}/headers").join(_checked_payloads(spark, folder), "key")
     block = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return joined.select("header", "payload", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"))
 
 
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """What the records of the archive say: each is put together again, and its bytes are parsed.
+
+    The header is what stands before the first empty line, the block the ``Content-Length`` bytes after it; both have to fill the record. A response's
+    payload is its block, a revisit's that of the response; lengths and digests are computed from them and compared with the header.
+    """
+    made = records(spark, folder).select("record", "payload")
+    head = F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1)
+    size = F.octet_length("header") + 4
+    parsed = made.withColumn("header", head).withColumns({"size": size, "length": _field("Content-Length").cast("int"), "record_type": _field("WARC-Type")})
+    whole = (F.octet_length("record") == F.col("size") + F.col("length") + 4) & (F.substring("record", -4, 4) == F.lit(b"\r\n\r\n"))
+    block = F.when(whole, F.expr("substring(record, size + 1, length)")).otherwise(F.raise_error(F.lit("a record does not end where its header says")).cast("binary"))
+    parsed = parsed.withColumn("block", F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(block)).withColumn("sha1", F.sha1("block"))
+    same = (_field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("sha1"))) & whole
+    digest = F.when(same, F.col("sha1")).otherwise(F.raise_error(F.lit("a header's digest differs from its payload")))
+    number = r"<" + URN + r"(-?[0-9]+)>"
+    page = lambda name: F.regexp_extract(_field(name), number, 1).try_cast("bigint")
+    return parsed.select(page("WARC-Record-ID").alias("page_id"), F.octet_length("block").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", page("WARC-Refers-To").alias("refers_to"))
+
+
 def export(spark: SparkSession, folder: str, to: str) -> DataFrame:
     """Writes the records as ``.warc.gz`` files, a gzip member for each; returns file and records."""
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framesql.llm import common, sstable, warc
 
@@ -13,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 
 def test_archive_against_brute_force(spark):
     big = "x" * 1500
-    rows = [(1, "u1", big), (5, "u\r\nEvil: 1", big), (3, None, big), (2, "u", "small"), (4, "u", "small"), (6, "u", None), (7, "u", ""), (None, "u", big), (8, "u", "é" * 500), (9, "u", "é" * 500), (5, "again", big)]
+    huge = "y" * 20_000_000
+    rows = [(10, "u", huge), (11, "u\r\n\r\nx", huge), (1, "u1", big), (5, "u\r\nEvil: 1", big), (3, None, big), (2, "u", "small"), (4, "u", "small"), (6, "u", None), (7, "u", ""), (None, "u", big), (8, "u", "é" * 500), (9, "u", "é" * 500), (5, "again", big)]
     pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, key int")
     folder = common.shared_dir(spark, "t")
     warc.write(pages, folder)
@@ -25,7 +27,7 @@ def test_archive_against_brute_force(spark):
         first = len(data) < 1000 or page == last
         want.append((page, len(data), hashlib.sha1(data).hexdigest(), "response" if first else "revisit", None if first else last))
     assert got == sorted(want, key=str)
-    assert spark.read.parquet(f"{folder}/payloads").count() == 4
+    assert spark.read.parquet(f"{folder}/payloads").count() == 5
 
     # Original records come back byte by byte, also through plain files.
     records = {bytes(r.record) for r in warc.records(spark, folder).collect()}
@@ -77,6 +79,23 @@ def test_encoding_of_odd_texts():
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["", "Two  blanks\nand Lines.", "é a!!b", "<|endoftext|> x", "I'LL DON'T 12"]
+    cased = json.loads(open(sstable.default_tokenizer(), encoding="utf-8").read())
+    cased["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(cased))
+    for path in (public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cased.json")):
+        tokenizer = Tokenizer.from_file(path)
+        assert not sstable._tokenizer(path)[1]
+        assert [np.frombuffer(x, "<u4").tolist() for x in sstable.encode(texts, path)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sstable._tokenizer(sstable.default_tokenizer())[1]
+
+
 def test_lookup_and_edge_cases(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "x") for i in range(-50, 300, 3)] + [(7, "b", "x"), (7, "a", "x"), (None, "null key", "x"), (1000, None, "x")], "doc_id long, text string, start string")
     folder = common.shared_dir(spark, "sst")
@@ -96,6 +115,8 @@ def test_lookup_and_edge_cases(spark):
     for key, got in found.items():
         assert sorted(got) == sorted(bytes(r.ids) for r in rows if r.doc_id == key)
     assert sstable.encode_and_read(docs.limit(0)).count() == 0
+    placed = sstable.encode_and_read(docs.withColumn("at", F.when(F.col("doc_id") != 10, F.col("doc_id") + 50)), place="at").collect()
+    assert all(r["at"] == (None if r.doc_id in (None, 10) else r.doc_id + 50) for r in placed) and len(placed) == len(rows)
 
 
 def test_shard_blocks(tmp_path, monkeypatch):

@@ -99,6 +99,24 @@ def test_mixing(spark):
     assert mixing.plan(docs.limit(0)).count() == 0
 
 
+def test_equal_rows_keep_their_own_copies(spark, tmp_path):
+    rows = [(1, "x y z", s, i) for s in "aab" for i in range(3)] + [(i, "w " * (i % 9), "abc"[i % 3], i) for i in range(2, 200)] + [(None, "q r", None, 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_row int").coalesce(1)
+    planned, mixed = mixing.plan(docs).collect(), mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    want = Counter()
+    for x in planned:
+        want[x.doc_id, x.source] += x.copies
+    assert Counter((x.doc_id, x.source) for x in mixed.collect()) == +want
+    mixed.write.parquet(str(tmp_path / "mix"))
+    placed = mixing.training_order(spark.read.parquet(str(tmp_path / "mix")), "at").collect()
+    assert sorted(x["at"] for x in placed) == list(range(sum(want.values())))
+    # A document of one copy stands before another one where its position is smaller.
+    first = {x.doc_id: x.positions[0] for x in planned if x.copies == 1 and x.doc_id not in (1, None)}
+    order = [x.doc_id for x in sorted(placed, key=lambda x: x["at"]) if x.doc_id in first]
+    assert len(order) > 20 and order == sorted(order, key=first.get)
+
+
 def test_positions_follow_the_schedule():
     from math import sqrt
 

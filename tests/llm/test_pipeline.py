@@ -62,3 +62,21 @@ def test_mixing_and_tokens(steps):
         ids = [*tokenizer.encode(d.text, add_special_tokens=False).ids, 1]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    # Places are the order of training: within a source, documents of one copy stand as they are mixed.
+    assert sorted(r.place for r in made) == list(range(len(mixed)))
+    files = steps[4].select("_metadata.file_name", "_metadata.row_index", "doc_id").collect()
+    assert [r.doc_id for r in sorted(files)] == [r.doc_id for r in sorted(made, key=lambda r: r.place)]
+
+
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    rows = [(None, "null id with some words in it", "en", None), (1, None, None, "a"), (1, "", "en", "a"), (2, "same text here as there", "en", "a"), (2, "same text here as there", "en", "a"), (3, "w " * 30_000, "en", "b")]
+    docs = spark.createDataFrame([(*r, 5, "k", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, place string, rid int")
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    for table, df in (("labels", labels), ("benchmark", spark.createDataFrame([(1, None)], "item_id long, text string"))):
+        df.write.parquet(str(tmp_path / f"{table}.parquet"))
+    given = docs
+    for (name, stage), want in zip(corpus_pipeline.STAGES, [6, 5, 5, None, None], strict=True):
+        given = common.written(stage(spark, given, str(tmp_path)), "odd")
+        assert want is None or given.count() == want, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert given.columns == docs.columns, name

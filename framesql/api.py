@@ -44,14 +44,19 @@ def execute(sql: Any, schema: Mapping | None = None, dialect: str | None = None,
     if tables:
         catalog.depth(tables)
     frames = {p: catalog.to_frame(v, spark, declared.get(p), d.fold) for p, v in catalog.walk(tables or {})}
-    types: dict[str, set[bool]] = {}
+    types: dict[str, set[str]] = {}
     for df in frames.values():
         for f in df.schema:
-            types.setdefault(f.name.lower(), set()).add(isinstance(f.dataType, T.StringType))
+            kind = "text" if isinstance(f.dataType, T.StringType) else "int" if isinstance(f.dataType, T.IntegralType) else "real" if isinstance(f.dataType, T.NumericType) else "other"
+            types.setdefault(f.name.lower(), set()).add(kind)
+
+    def kind_of(column: str) -> str | None:
+        known = types.get(column.lower(), set())
+        return next(iter(known)) if known in ({"int"}, {"real"}) else None
 
     with catalog.Scope(spark) as scope:
         try:
-            said = rewrite(sql, dialect, {p: ".".join(p) for p in frames}, scope.new_view, lambda c: types.get(c.lower()) == {True})
+            said = rewrite(sql, dialect, {p: ".".join(p) for p in frames}, scope.new_view, lambda c: types.get(c.lower()) == {"text"}, kind_of)
             lowered = said.sql.lower()
             for path, df in frames.items():
                 if path[-1].lower() in lowered:
@@ -69,7 +74,9 @@ def execute(sql: Any, schema: Mapping | None = None, dialect: str | None = None,
         names = folded(out.columns, said.quoted, {c for df in frames.values() for c in df.columns}, d.fold)
         out = out if names == out.columns else out.toDF(*names)
         # The plan is analysed: it outlives the views.
-        log.debug("analysed in %.3f s", time.perf_counter() - began)
+        if log.isEnabledFor(logging.DEBUG):
+            log.debug("analysed in %.3f s: %s", time.perf_counter() - began, out._jdf.queryExecution().optimizedPlan().toString())
+            log.debug("planned in %.3f s: %s", time.perf_counter() - began, out._jdf.queryExecution().executedPlan().toString())
         return out
 
 

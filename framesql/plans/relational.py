@@ -85,10 +85,10 @@ SQL = {
     "distinct_rows": "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer",
     "group_no_agg": "SELECT c_mktsegment FROM customer GROUP BY c_mktsegment",
     # sort and limit
-    "sort_multi_mixed": "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment ASC, c_acctbal DESC, c_custkey LIMIT 50",
-    "sort_nulls": "SELECT p_partkey, NULLIF(p_size, 10) AS s FROM part ORDER BY NULLIF(p_size, 10) DESC NULLS FIRST, p_partkey ASC NULLS LAST LIMIT 90",
-    "sort_nulls_default": "SELECT p_partkey, NULLIF(p_size, 50) AS s FROM part ORDER BY s DESC, p_partkey LIMIT 30",
-    "sort_expression": "SELECT o_orderkey, o_totalprice / 3 AS v FROM orders ORDER BY o_totalprice * -1, o_orderkey LIMIT 20",
+    "sort_multi_mixed": "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment ASC, c_acctbal DESC, c_custkey",
+    "sort_nulls": "SELECT p_partkey, NULLIF(p_size, 10) AS s FROM part ORDER BY NULLIF(p_size, 10) DESC NULLS FIRST, p_partkey ASC NULLS LAST",
+    "sort_nulls_default": "SELECT p_partkey, NULLIF(p_size, 50) AS s FROM part ORDER BY s DESC, p_partkey",
+    "sort_expression": "SELECT o_orderkey, o_totalprice / 3 AS v FROM orders ORDER BY o_totalprice * -1, o_orderkey",
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25",
     "limit_in_subquery": "SELECT AVG(x) AS mean FROM (SELECT o_orderkey AS x FROM orders ORDER BY o_orderkey LIMIT 100) AS d",
@@ -127,6 +127,23 @@ SQL = {
     "window_rank": "SELECT o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS r FROM orders",
     "window_running": "SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS running FROM orders",
     "window_lag": "SELECT o_orderkey, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders",
+    # operators and functions that mean something else in Spark
+    "qualify": "SELECT o_custkey, o_orderkey FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
+    "unnest": "SELECT n_nationkey, e FROM nation, UNNEST([n_nationkey, n_regionkey + 100]) AS u(e)",
+    "list_index": "SELECT vec_id, embedding[1] AS first, embedding[-1] AS last, embedding[100000] AS beyond FROM embeddings",
+    "power_operator": "SELECT p_partkey, ROUND(p_size ^ 2 - 2 ** 3, 4) AS v FROM part",
+    "floor_division": "SELECT o_orderkey, o_orderkey // 7 AS q, (LENGTH(o_orderpriority) + 1) // 2 AS half FROM orders",
+    "log_base": "SELECT p_partkey, ROUND(LOG(p_retailprice), 6) AS l FROM part",
+    "day_of_week": "SELECT o_orderkey, CAST(DAYOFWEEK(o_orderdate) AS BIGINT) AS d, CAST(EXTRACT(DOW FROM o_orderdate) AS BIGINT) AS e FROM orders",
+    "star_exclude": "SELECT * EXCLUDE (c_name) FROM customer",
+    "agg_list": "SELECT n_regionkey, ARRAY_TO_STRING(LIST_SORT(LIST(n_name)), ',') AS names, CAST(LEN(ARRAY_TO_STRING(LIST_SORT(ARRAY_AGG(n_name)), '')) AS BIGINT) AS chars FROM nation GROUP BY n_regionkey",
+    "agg_quantile": "SELECT o_orderstatus, ROUND(QUANTILE_CONT(o_totalprice, 0.25), 2) AS q FROM orders GROUP BY o_orderstatus",
+    "agg_arg_max": "SELECT o_custkey, ARG_MAX(o_orderkey, o_totalprice) AS dear, ARG_MIN(o_orderkey, o_totalprice) AS cheap FROM orders GROUP BY o_custkey",
+    "cast_decimal": "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DECIMAL(12, 2)) AS q, CAST(CAST(l_discount AS NUMERIC(6, 2)) AS VARCHAR) AS d FROM lineitem",
+    "recursive_cte": "WITH RECURSIVE r (n, s) AS (SELECT 1, 1 UNION ALL SELECT n + 1, s + n + 1 FROM r WHERE n < 20) SELECT n, s, n_name FROM r JOIN nation ON n = n_nationkey",
+    "lateral_join": "SELECT r_name, m FROM region, LATERAL (SELECT MAX(n_nationkey) AS m FROM nation WHERE n_regionkey = r_regionkey) AS q",
+    "regexp": "SELECT doc_id FROM documents WHERE REGEXP_MATCHES(text, '[0-9]{4}-[0-9]{2}')",
+    "except_of_null_list": "SELECT p_size, CAST(SUM(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls FROM (SELECT p_size, UNNEST(LIST(NULLIF(p_type, 'PROMO'))) AS x FROM part GROUP BY p_size) AS q GROUP BY p_size",
     # plain SQL over the other tables
     "documents_by_language": "SELECT lang, COUNT(*) AS n, CAST(SUM(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang",
     "conversations_turns": "SELECT role, COUNT(*) AS n, MAX(turn) AS last FROM conversations GROUP BY role",

@@ -16,6 +16,12 @@ def test_query(spark, con, name):
     assert_same(plans.QUERIES[name](spark, SF), con, plans.ORACLE_SQL[name])
 
 
+@pytest.mark.parametrize("name", ["sort_multi_mixed", "sort_nulls", "sort_nulls_default", "sort_expression"])
+def test_order(spark, con, name):
+    key = lambda r: r[0]
+    assert list(map(key, plans.QUERIES[name](spark, SF).collect())) == list(map(key, con.execute(plans.ORACLE_SQL[name]).fetchall()))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -45,21 +45,29 @@ def test_few_candidates(spark):
     assert [tuple(x) for x in topk.search(df, df.where("vec_id = 0"), 5).collect()] == [(0, 1, 3, 256 * 512)]
 
 
-def test_blocks_are_skipped_and_large_numbers_exact():
+def test_few_blocks_are_shipped_for_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_DOCS", 20)
     r = np.random.default_rng(2)
-    data = [np.floor(256 * (r.normal(size=(50, 8)) * (4 if b == 7 else 0.2))) for b in range(20)]
-    ids = [np.arange(b * 50, b * 50 + 50) for b in range(20)]
-    q = np.floor(256 * r.normal(size=(10, 8)))
-    high, low = np.array([d.max(axis=0) for d in data]), np.array([d.min(axis=0) for d in data])
-    row, vec, score, scored = topk.search_cell(np.full(10, -1), q, ids, data, high, low, 5)
-    assert scored < 10 * 20 / 2
-    every = np.concatenate(data)
-    for i in range(10):
-        s = every @ q[i]
-        want = np.lexsort((np.arange(1000), -s))[:5]
-        assert vec[row == i].tolist() == want.tolist() and score[row == i].tolist() == s[want].tolist()
-    big = np.array([[2.0**40, 1.0], [2.0**40, -1.0]])
-    assert topk._dot(big, big).tolist() == [[2**80 + 1, 2**80 - 1], [2**80 - 1, 2**80 + 1]]
+    centres = r.normal(size=(50, 8)) * 4
+    rows = [(i, (centres[i // 60] + r.normal(size=8) * 0.2).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    search = topk.Search(df, df.where("vec_id % 50 = 0"), 5)
+    got = sorted(tuple(x) for x in search.run().collect())
+    assert got == brute(rows, range(0, 3000, 50), 5)
+    assert search.chosen < 0.2 * 60 * search.forward.count()
+
+
+def test_large_numbers_are_exact():
+    r = np.random.default_rng(3)
+    q, d = np.floor(r.normal(size=(5, 4)) * 2.0**40), np.floor(r.normal(size=(30, 4)) * 2.0**40)
+    want = [[sum(int(x) * int(y) for x, y in zip(a, b, strict=True)) for b in d] for a in q]
+    assert topk._dot(q, d).tolist() == want
+    one = d.reshape(30, 1, 4)
+    high = low = one[:, 0]
+    kth = [sorted(w)[-5] for w in want]
+    chosen = topk.choose(q, kth, high, low, 0, None)
+    assert chosen.sum(axis=1).tolist() == [5] * 5 and topk.choose(q, [None] * 5, high, low, 0, 2).sum() == 10
+
 
 
 def test_language_on_held_out_documents(spark):

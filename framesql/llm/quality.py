@@ -2,19 +2,21 @@
 
 Two hashed n-gram models are counted: the target model over a bounded sample of labelled good
 documents, the raw model over every document. A document's log weight is the sum of
-log(target / raw) over its n-grams, counts being smoothed towards a ratio of 1 by ``PRIOR``. Gumbel noise, fixed by the document's identifier and text, is added and the k
-documents of the largest sums are kept (a sample without replacement in proportion to the weights).
+log(target / raw) over its n-grams, counts being smoothed towards a ratio of 1 by ``PRIOR``. It is divided by a ``temperature``, Gumbel noise, fixed
+by the document's identifier and text, is added, and the k documents of the largest sums are kept (a sample without replacement in proportion to the
+weights to the power of 1 / temperature). So a document near the cut stays or goes by chance, one far from it by its weight.
 
 n-grams: words and pairs of words (lower case, marks apart from letters) in ``BUCKETS`` hashed buckets, and triples of
 word shapes, which tell shouting, tables, symbol noise and repetition, in buckets of their own.
 
 k comes from the labels: the sample's documents give the cut of the log weight that agrees best with them, and k
-is the number of all documents above it. The k-th sum is found by counting in ever finer intervals, so
+is ``share`` of the number of all documents above it. The k-th sum is found by counting in ever finer intervals, so
 no more than some thousand numbers reach the driver at any size.
 
 Defined cases: a null or empty text has log weight 0, which speaks neither for nor against it, and noise; documents that tie with the k-th all stay;
-repeated rows share their fate; without labels everything is kept; labels that are null, or
-without a document, are ignored; extra columns are kept by ``resample``.
+repeated rows share their fate; texts of any length are taken whole; without labels everything is kept; labels that are null, or
+without a document, are ignored; identifiers have to be integers (others raise); an empty table gives no row; extra columns, also under names that are
+used inside, are kept by ``resample``.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framesql.llm import common
 
@@ -37,6 +40,7 @@ SIZE = BUCKETS + SHAPES**3
 LABELLED_ROWS = 20_000
 #: Added to the seen and to the expected count of a bucket: a bucket of a few hundred n-grams or less says next to nothing.
 PRIOR = 200.0
+TEMPERATURE = 4.0
 CACHE_TOKENS = 250_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -148,7 +152,7 @@ def _uniform(doc_id: int | None, text: str | None) -> float:
     return ((h >> 12) + 0.5) / 2**52
 
 
-def _weigh(model: np.ndarray, ids: list, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _weigh(model: np.ndarray, ids: list, texts: pa.Array, temperature: float) -> tuple[np.ndarray, np.ndarray]:
     """Log weights, and the sums with the noise."""
     weights, noise = np.zeros(len(ids)), np.zeros(len(ids))
     for i, (doc_id, t) in enumerate(zip(ids, texts, strict=True)):
@@ -156,18 +160,20 @@ def _weigh(model: np.ndarray, ids: list, texts: pa.Array) -> tuple[np.ndarray, n
         if text:
             weights[i] = model[features(text)].sum()
         noise[i] = _uniform(doc_id, text)
-    return weights, weights - np.log(-np.log(noise))
+    return weights, weights / temperature - np.log(-np.log(noise))
 
 
-def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """doc_id, log_weight, perturbed for every row."""
+def score(docs: DataFrame, model: np.ndarray, temperature: float = TEMPERATURE, names: tuple[str, str] = ("log_weight", "perturbed")) -> DataFrame:
+    """Every row of ``docs`` with its log weight and the sum with the noise."""
+    at, of = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, p = _weigh(model, _ids(batch, 0), batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(p)], ["doc_id", "log_weight", "perturbed"])
+            w, p = _weigh(model, _ids(batch, at), batch.column(of), temperature)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w), pa.array(p)], [*batch.schema.names, *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, log_weight double, perturbed double")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    return docs.mapInArrow(run, schema)
 
 
 def cut(scored: DataFrame, labels: dict[int, bool]) -> float:
@@ -213,35 +219,28 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def decide(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, float] | None:
-    """Scores (a written table), the model, and the k-th largest sum; None keeps everything."""
+def decide(docs: DataFrame, labels: DataFrame, share: float = 1.0, temperature: float = TEMPERATURE, whole: bool = False) -> tuple[DataFrame, tuple[str, str], float] | None:
+    """Scored rows (a written table; ``whole`` keeps the columns of ``docs``), the names of log weight and sum, and the k-th largest sum; None keeps everything."""
     common.find_package(docs.sparkSession)
     sample = labelled(labels)
     model = fit(docs, sample)
     if model is None:
         return None
-    scored = common.written(score(docs, model), "scores")
-    k = scored.where(F.col("log_weight") >= F.lit(cut(scored, sample))).count()
-    return scored, model, kth_largest(scored, "perturbed", k)
+    names = (common.add_unique(docs, "log_weight"), common.add_unique(docs, "perturbed"))
+    made = score(docs if whole else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, temperature, names)
+    scored = common.written(made if whole else made.drop("text"), "scores")
+    plain = scored.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(n).alias(x) for n, x in zip(names, ("log_weight", "perturbed"), strict=True)])
+    k = int(share * plain.where(F.col("log_weight") >= F.lit(cut(plain, sample))).count())
+    return scored, names, kth_largest(plain, "perturbed", k)
 
 
-def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that are kept, with their own columns. They are weighed again, not shuffled."""
-    decided = decide(docs, labels)
+def resample(docs: DataFrame, labels: DataFrame, share: float = 1.0, temperature: float = TEMPERATURE) -> DataFrame:
+    """The rows that are kept, with their own columns."""
+    decided = decide(docs, labels, share, temperature, whole=True)
     if decided is None:
         return docs
-    _, model, least = decided
-    at, of = docs.columns.index("doc_id"), docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_weigh(model, _ids(batch, at), batch.column(of))[1] >= least))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _kept(decided) -> Column:
-    return F.col("perturbed") >= F.lit(decided[2])
+    scored, names, least = decided
+    return scored.where(F.col(names[1]) >= F.lit(least)).drop(*names)
 
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,4 +249,5 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = decide(docs, common.read(spark, sf_dir, "labels"))
     if decided is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("perturbed"))
-    return decided[0].where(_kept(decided))
+    scored, names, least = decided
+    return scored.where(F.col(names[1]) >= F.lit(least)).select("doc_id", F.col(names[0]).alias("log_weight"), F.col(names[1]).alias("perturbed"))

@@ -81,6 +81,61 @@ def test_quality_keeps_clean_and_drops_bad(spark, sf):
     assert good.count(1) / len(good) > 0.98 and bad.count(1) / len(bad) < 0.05
 
 
+def test_quality_on_held_out_labels(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    held = labels.where("doc_id % 3 = 0").where("quality = 1 OR quality = 0").collect()
+    kept = {r.doc_id for r in quality.resample(docs, labels.where("doc_id % 3 <> 0")).collect()}
+    good, bad = [r.doc_id in kept for r in held if r.quality == 1], [r.doc_id in kept for r in held if r.quality == 0]
+    assert len(good) > 50 and len(bad) > 10 and sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.1
+
+
+def test_resampling_against_brute_force(spark):
+    import math
+
+    import xxhash
+
+    r = random.Random(6)
+    good = lambda: " ".join(r.choice("the cat sat on a mat and saw one dog".split()) for _ in range(r.randrange(3, 30)))
+    mixed = lambda: " ".join(r.choice("the cat buy now win cash dog at once one".split()) for _ in range(r.randrange(3, 30)))
+    rows = [(i, good() if i % 2 else mixed()) for i in range(400)] + [(400, None), (401, ""), (None, good()), (7, good())]
+    labels = [(i, int(i % 2), 0) for i in range(0, 400, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+    # Words, pairs and shapes in buckets, by plain loops.
+    known = {i for i, q, _ in labels if q}
+    word = lambda t: xxhash.xxh3_64_intdigest(t.lower().encode()) >> 4
+
+    def grams(text):
+        tokens = (text or "").split()
+        h = [word(t) for t in tokens]
+        out = [x % quality.BUCKETS for x in h]
+        out += [(((x * 0x9E3779B97F4A7C15 + y) * 0xC2B2AE3D27D4EB4F) % 2**64) >> 48 for x, y in zip(h, h[1:], strict=False)]
+        shape = [0] + [8 if k and h[k] == h[k - 1] else 1 for k in range(len(h))] + [0]
+        return out + [quality.BUCKETS + (a * 9 + b) * 9 + c for a, b, c in zip(shape, shape[1:], shape[2:], strict=False)] if tokens else []
+
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in known:
+            target.update(grams(t))
+    part = sum(target.values()) / sum(raw.values())
+    ratio = {g: math.log((target[g] + 200) / (n * part + 200)) for g, n in raw.items()}
+    weights = [sum(ratio[g] for g in grams(t)) for _, t in rows]
+    noise = [((xxhash.xxh3_64_intdigest(f"{i}\0".encode() + (t or "").encode()) >> 12) + 0.5) / 2**52 for i, t in rows]
+    for temperature, share in ((0.05, 1.0), (1.0, 1.0), (1.0, 0.5)):
+        sums = [w / temperature - math.log(-math.log(u)) for w, u in zip(weights, noise, strict=True)]
+        scored, names, least = quality.decide(df, told, share, temperature)
+        assert np.allclose(sorted(x[names[0]] for x in scored.collect()), sorted(weights)) and np.allclose(sorted(x[names[1]] for x in scored.collect()), sorted(sums))
+        above = quality.cut(scored, {i: bool(q) for i, q, _ in labels})
+        k = int(share * sum(w >= above - 1e-9 for w in weights))
+        want = sorted(str(rows[x]) for x in np.argsort(sums)[::-1][:k])
+        assert sorted(str(tuple(x)) for x in quality.resample(df, told, share, temperature).collect()) == want
+        # The noise decides where weights are close.
+        by_weight = sorted(str(rows[x]) for x in np.argsort(weights)[::-1][:k])
+        assert (want != by_weight) or temperature < 1
+
+
 def test_quality_edge_cases(spark):
     good = [(i, f"The cat number {i} sat on the mat, and the dog looked on from the door.", "a") for i in range(300)]
     bad = [(1000 + i, f"BUY!! NOW!! {i} $$$ ### WIN!! WIN!! | x | y | BUY!! NOW!! $$$ ###", "b") for i in range(100)]

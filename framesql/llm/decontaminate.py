@@ -6,7 +6,8 @@ hashed and joined with the windows of the benchmark items, so a question with ot
 units still matches. For windows with placeholders the slots must agree: along one alignment of an item and a
 document, equal slot values of the item stand for equal values of the document and different ones for different ones.
 
-A name is a capitalised word after another word, comma, semicolon or colon (not at the start of a sentence). Items shorter than a window are one
+A name is a capitalised word after another word, comma, semicolon or colon (not at the start of a sentence, where every word is a capitalised one and
+stays a word); names that follow each other are one. Items shorter than a window are one
 window of their own length. Windows of which less than half are words say nothing and are not used. An item that has no
 other window, or less than ``MIN_TOKENS`` tokens, is looked for as a whole with its literal values: anywhere in a
 document, or as a line of its own if it has less than ``LITERAL_TOKENS`` tokens.
@@ -14,8 +15,8 @@ document, or as a line of its own if it has less than ``LITERAL_TOKENS`` tokens.
 The windows of the benchmark are broadcast only if their counted number is at most ``BROADCAST_ROWS``;
 beyond, both sides are shuffled by the window's hash.
 
-Defined cases: null or empty texts match nothing, on either side; null identifiers stay null; repeated rows are reported alike, once per doc_id and item;
-empty tables give no row; extra columns are kept by ``remove``.
+Defined cases: null or empty texts match nothing, on either side; texts of any length are taken whole; null identifiers stay null; repeated rows are reported alike, once per doc_id and item;
+empty tables give no row; extra columns, also under names that are used inside, are kept by ``remove``.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def _tokens(text: Column) -> Column:
     named = F.regexp_replace(plain, r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})", NAME)
     with_units = F.regexp_replace(named, rf"([0-9] ?)(?=(?:{units}|[%€$£°])(?!\p{{L}}))", f"$1{UNIT}")
     numbers = F.regexp_replace(with_units, r"(?<![\p{L}\p{N}.,])(?=[0-9])", NUMBER)
-    return F.regexp_extract_all(F.lower(numbers), F.lit(rf"{NUMBER}[0-9]+(?:[.,][0-9]+)*|{UNIT}(?:\p{{L}}+|[%€$£°])|{NAME}?\p{{L}}+|[0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(numbers), F.lit(rf"{NUMBER}[0-9]+(?:[.,][0-9]+)*|{UNIT}(?:\p{{L}}+|[%€$£°])|{NAME}\p{{L}}++(?: {NAME}\p{{L}}++)*+|\p{{L}}+|[0-9]+"), F.lit(0))
 
 
 def _kind(token: Column) -> Column:
@@ -59,13 +60,16 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _windows(hashes: Column, n: int) -> Column:
-    """The hash of every window of n tokens."""
+def _windows(hashes: Column, lengths: list[int]) -> Column:
+    """pos, n and h (hash) of every window of each length; the tokens are made and hashed once."""
 
     def of(h: Column) -> Column:
-        last = F.size(h) - n
-        each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.lit(n), F.slice(h, i + 1, n)))
-        return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
+        def every(n: int) -> Column:
+            last = F.size(h) - n
+            each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(F.lit(n), F.slice(h, i + 1, n)).alias("h")))
+            return F.when(last >= 0, each).otherwise(F.array().cast("array<struct<pos:int,n:int,h:bigint>>"))
+
+        return F.concat(*map(every, lengths))
 
     return _once(hashes, of)
 
@@ -100,15 +104,14 @@ def _literal(docs: DataFrame, benchmark: DataFrame, items: DataFrame, window: in
     a, b = common.hash128("doc_id", "text")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", a.alias("a"), b.alias("b"), "text")
     values = lambda c: F.transform(_tokens(F.col(c)), plain)
-    every = None
-    for n in lengths:
-        if n < LITERAL_TOKENS:
-            lines = texts.select("doc_id", "a", "b", F.posexplode(F.split("text", r"[\r\n]")).alias("pos", "line")).withColumn("hashes", values("line"))
-            part = lines.where(F.size("hashes") == n).select("doc_id", "a", "b", "pos", F.xxhash64(F.lit(n), "hashes").alias("h"))
-        else:
-            part = texts.withColumn("hashes", values("text")).select("doc_id", "a", "b", F.posexplode(_windows(F.col("hashes"), n)).alias("pos", "h"))
-        part = part.withColumn("n", F.lit(n))
-        every = part if every is None else every.unionByName(part)
+    few, more = [n for n in lengths if n < LITERAL_TOKENS], [n for n in lengths if n >= LITERAL_TOKENS]
+    parts = []
+    if few:
+        lines = texts.select("doc_id", "a", "b", F.posexplode(F.split("text", r"[\r\n]")).alias("pos", "line")).withColumn("hashes", values("line")).withColumn("n", F.size("hashes"))
+        parts.append(lines.where(F.col("n").isin(few)).select("doc_id", "a", "b", "pos", "n", F.xxhash64("n", "hashes").alias("h")))
+    if more:
+        parts.append(texts.withColumn("hashes", values("text")).select("doc_id", "a", "b", F.inline(_windows(F.col("hashes"), more))))
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     wanted = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
     # All windows of an item, one after the other.
     runs = every.join(wanted, ["h", "n"]).groupBy("a", "b", "doc_id", "item_id", "item", "size", "n", "slots", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count_distinct("at").alias("windows"))
@@ -125,12 +128,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
         wanted = F.broadcast(wanted)
     a, b = common.hash128("doc_id", "text")
     tokens = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc_id"), a.alias("a"), b.alias("b"), _hashes(_tokens(F.col("text"))).alias("hashes"))
-    parts = [tokens.select("doc_id", "a", "b", F.posexplode(_windows(F.col("hashes"), n)).alias("pos", "h")).withColumn("n", F.lit(n)) for n in lengths]
-    if not parts:
+    if not lengths:
         return literal if literal is not None else docs.select("doc_id", a.alias("a"), b.alias("b"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("windows"), F.lit(0).cast("long").alias("slots")).limit(0)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = tokens.select("doc_id", "a", "b", F.inline(_windows(F.col("hashes"), lengths)))
     found = common.written(every.join(wanted, "h", "left_semi"), "window-matches").distinct()
     pairs = found.join(items, ["h", "n"]).withColumn("shift", F.col("pos") - F.col("at"))
 

@@ -57,6 +57,56 @@ def test_templates_and_slots(spark, monkeypatch, limit):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.remove(docs.limit(0), bench).count() == 0
 
 
+def brute_templates(rows, items):
+    """Documents and items that share a template window, by plain loops, for texts of words, numbers and names between blanks."""
+
+    def tokens(text):
+        out, words = [], text.split()
+        for k, w in enumerate(words):
+            bare = w.strip(".,")
+            if re.fullmatch(r"[0-9.]+", bare):
+                out.append(("#", bare))
+            elif bare[:1].isupper() and k and not words[k - 1].endswith("."):
+                if out[-1][0] == "@" and not words[k - 1].endswith(","):
+                    out[-1] = ("@", out[-1][1] + " " + bare.lower())
+                else:
+                    out.append(("@", bare.lower()))
+            else:
+                out.append((bare.lower(), None))
+        return out
+
+    found = set()
+    for item, told in items:
+        x = tokens(told)
+        for doc, text in rows:
+            y = tokens(text)
+            for shift in range(-len(x), len(y)):
+                at = [i for i in range(len(x) - 9) if 0 <= i + shift <= len(y) - 10 and [k for k, _ in x[i : i + 10]] == [k for k, _ in y[i + shift : i + shift + 10]]]
+                windows = [i for i in at if 2 * sum(v is not None for _, v in x[i : i + 10]) <= 10]
+                if any(all(v is None for _, v in x[i : i + 10]) for i in windows):
+                    found.add((doc, item))
+                slots = {(x[i + k][1], y[i + shift + k][1]) for i in windows for k in range(10) if x[i + k][1] is not None}
+                if slots and len(slots) == len({a for a, _ in slots}) == len({b for _, b in slots}):
+                    found.add((doc, item))
+    return found
+
+
+def test_templates_against_brute_force(spark):
+    r = random.Random(9)
+    names = ["Tom", "Mary", "Mary Ann", "Bob", "John Paul Jones", "Sue"]
+    word = lambda: r.choice("apples gave bought later shop then of the with went some old green road house found".split())
+    frames = [[r.choice(["{n}", "{v}", None, None, None, None]) or word() for _ in range(r.randrange(14, 24))] for _ in range(12)]
+    fill = lambda frame, values: "so " + " ".join(values.get(w, w) if w not in ("{n}", "{v}") else (r.choice(names) if w == "{n}" else str(r.randrange(3, 9))) for w in frame)
+    items = [(i, fill(f, {})) for i, f in enumerate(frames)]
+    rows = [(i, " ".join([*(word() for _ in range(r.randrange(9))), fill(r.choice(frames), {}), *(word() for _ in range(r.randrange(9)))])) for i in range(150)]
+    rows += [(200 + i, t) for i, t in items]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(x.doc_id, x.item_id) for x in decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_templates(rows, items)
+    assert got == want, (sorted(got - want)[:5], sorted(want - got)[:5])
+    assert len([x for x in want if x[0] < 200]) > 20 and len({x for x in want if x[0] >= 200}) == 12
+
+
 def test_short_item_is_one_window(spark):
     docs = spark.createDataFrame([(1, "so the quick brown fox jumps over a lazy dog said he"), (2, "the quick brown fox jumps over a")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "The quick brown fox jumps over a lazy dog")], "item_id long, text string")

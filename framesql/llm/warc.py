@@ -2,7 +2,7 @@
 
 ``write`` keeps three things apart in one folder:
 
-* ``payloads``: the bytes of every distinct payload once, keyed by SHA-256. While they are
+* ``payloads``: the bytes of every distinct payload once, as a zstandard frame, keyed by the SHA-256 of the plain bytes. While they are
   stored, each key's rows are checked to agree in length and in a second, unrelated digest, and
   the bytes that are read back are hashed again, so a damaged or clashing payload raises.
 * ``headers``: the exact header block of every record and the key of its payload.
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,17 +58,42 @@ def _header(date: str) -> Column:
     ).cast("binary")
 
 
+def _each(column: str, change):
+    """Changes one binary column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            # A few rows at a time: payloads may be long.
+            for i in range(0, batch.num_rows, 100):
+                some = batch.slice(i, 100)
+                yield some.set_column(at, column, pa.array([change(x.as_py()) for x in some.column(at)], pa.binary()))
+
+    return run
+
+
+def _pack(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", revisit_bytes: int = REVISIT_BYTES) -> None:
     """``pages``: page_id, url, html. Writes ``folder/payloads`` and ``folder/headers``."""
     spark = pages.sparkSession
+    common.find_package(spark)
     payload = common.row_text("html").cast("binary")
-    keyed = pages.select("page_id", "url", payload.alias("payload")).withColumns({"key": F.unhex(F.sha2("payload", 256)), "check": F.xxhash64("payload")})
-    stored = keyed.groupBy("key").agg(
-        F.any_value("payload").alias("payload"), F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("records"),
-        F.min("check").alias("low"), F.max("check").alias("high"),
+    keyed = pages.select("page_id", "url", payload.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
+    facts = keyed.select("page_id", "key", F.xxhash64("payload").alias("check"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "payload")
+    packed = facts.withColumnRenamed("payload", "packed")
+    stored = packed.mapInArrow(_each("packed", _pack), packed.schema).groupBy("key").agg(
+        F.any_value("packed").alias("packed"), F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("records"),
+        F.min("check").alias("low"), F.max("check").alias("high"), *[F.any_value(c).alias(c) for c in ("payload_bytes", "payload_digest")],
     )
-    checked = F.when(F.col("low") == F.col("high"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads share a digest")).cast("binary"))
-    stored = stored.select("key", checked.alias("payload"), "response_id", "records").withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
+    checked = F.when(F.col("low") == F.col("high"), F.col("packed")).otherwise(F.raise_error(F.lit("two payloads share a digest")).cast("binary"))
+    stored = stored.select("key", checked.alias("packed"), "response_id", "records", "payload_bytes", "payload_digest")
     stored.write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
     facts = spark.read.parquet(f"{folder}/payloads").select("key", "response_id", "payload_bytes", "payload_digest")
@@ -81,17 +107,14 @@ def _field(name: str) -> Column:
     return F.regexp_extract(F.col("header").cast("string"), rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
 
 
-def _checked_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored payloads, hashed again: key, payload, payload_bytes, payload_digest."""
-    same = F.unhex(F.sha2("payload", 256)) == F.col("key")
-    payload = F.when(same, F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload differs from its digest")).cast("binary"))
-    own = spark.read.parquet(f"{folder}/payloads").select("key", payload.alias("payload"))
-    return own.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
-
-
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """The original records: the record's own bytes, its header, and the payload that it stands for (for a revisit that of its response)."""
-    joined = spark.read.parquet(f"{folder}/headers").join(_checked_payloads(spark, folder), "key")
+    common.find_package(spark)
+    joined = spark.read.parquet(f"{folder}/headers").join(spark.read.parquet(f"{folder}/payloads").select("key", F.col("packed").alias("payload")), "key")
+    # Payloads travel packed, and are hashed again when they are plain.
+    plain = joined.mapInArrow(_each("payload", _unpack), joined.schema)
+    same = F.unhex(F.sha2("payload", 256)) == F.col("key")
+    joined = plain.withColumn("payload", F.when(same, F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload differs from its digest")).cast("binary")))
     block = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return joined.select("header", "payload", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"))
 

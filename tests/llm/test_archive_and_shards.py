@@ -43,7 +43,8 @@ def test_damage_is_found(spark):
     folder = common.shared_dir(spark, "t")
     warc.write(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), folder)
     bad = common.shared_dir(spark, "bad")
-    spark.read.parquet(f"{folder}/payloads").selectExpr("key", "cast('abd' as binary) as payload").write.parquet(f"{bad}/payloads")
+    packed = warc._pack(b"abd")
+    spark.read.parquet(f"{folder}/payloads").withColumn("packed", F.lit(packed)).write.parquet(f"{bad}/payloads")
     spark.read.parquet(f"{folder}/headers").write.parquet(f"{bad}/headers")
     with pytest.raises(Exception, match="differs"):
         warc.read(spark, bad).collect()

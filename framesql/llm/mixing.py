@@ -10,7 +10,8 @@ and inverting the source's cumulative demand gives each copy its training positi
 A running sum over a hot source would be one task: documents are first dealt to hash buckets
 of a source, buckets are summed, and only sums meet in one task; each bucket then runs alone.
 
-Every row of a mix is written with a number of its own first, so that rows which are equal in all columns keep their own positions.
+A row of a mix is known by its place in the file that it was read from, or, if it comes from elsewhere, by a number that is written with it
+first, so that rows which are equal in all columns keep their own positions.
 
 Defined cases: a null text has size 0 and a text of any length is counted whole; a null source is a source, and the last; documents
 repeated under one identifier are each a document of the source that they stand in, ordered by size; a source without words gets
@@ -19,6 +20,7 @@ target 0 and no copies; an empty table gives no row; extra columns, also under n
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,8 +84,11 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), slopes: tuple[
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix, each copy a row with its own columns, in the order of training."""
     row, at, due = (common.add_unique(docs, c) for c in ("mix_row", "mix_at", "mix_due"))
-    # The number is made once: the written table is its source.
-    rows = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    try:
+        rows = docs.withColumn(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    except AnalysisException:
+        # The number is made once: the written table is its source.
+        rows = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
     planned = plan(rows, row=row, **options).where("copies > 0").select(F.col("row").alias(due), F.explode("positions").alias(at))
     joined = rows.join(planned, F.col(row) == F.col(due))
     return joined.repartitionByRange(at).sortWithinPartitions(at).drop(row, at, due)

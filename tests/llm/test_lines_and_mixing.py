@@ -108,6 +108,9 @@ def test_equal_rows_keep_their_own_copies(spark, tmp_path):
     for x in planned:
         want[x.doc_id, x.source] += x.copies
     assert Counter((x.doc_id, x.source) for x in mixed.collect()) == +want
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    again = mixing.mix(spark.read.parquet(str(tmp_path / "docs")))
+    assert again.columns == docs.columns and Counter((x.doc_id, x.source) for x in again.collect()) == +want
     mixed.write.parquet(str(tmp_path / "mix"))
     placed = mixing.training_order(spark.read.parquet(str(tmp_path / "mix")), "at").collect()
     assert sorted(x["at"] for x in placed) == list(range(sum(want.values())))

@@ -29,7 +29,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from framesql.llm import common
 
@@ -163,17 +162,15 @@ def _weigh(model: np.ndarray, ids: list, texts: pa.Array, temperature: float) ->
     return weights, weights / temperature - np.log(-np.log(noise))
 
 
-def score(docs: DataFrame, model: np.ndarray, temperature: float = TEMPERATURE, names: tuple[str, str] = ("log_weight", "perturbed")) -> DataFrame:
-    """Every row of ``docs`` with its log weight and the sum with the noise."""
-    at, of = docs.columns.index("doc_id"), docs.columns.index("text")
+def score(docs: DataFrame, model: np.ndarray, temperature: float = TEMPERATURE) -> DataFrame:
+    """Rows of doc_id and text with log_weight and perturbed, the sum with the noise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, p = _weigh(model, _ids(batch, at), batch.column(of), temperature)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w), pa.array(p)], [*batch.schema.names, *names])
+            w, p = _weigh(model, _ids(batch, 0), batch.column(1), temperature)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(p)], ["doc_id", "log_weight", "perturbed"])
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
-    return docs.mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double, perturbed double")
 
 
 def cut(scored: DataFrame, labels: dict[int, bool]) -> float:
@@ -219,28 +216,32 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def decide(docs: DataFrame, labels: DataFrame, share: float = 1.0, temperature: float = TEMPERATURE, whole: bool = False) -> tuple[DataFrame, tuple[str, str], float] | None:
-    """Scored rows (a written table; ``whole`` keeps the columns of ``docs``), the names of log weight and sum, and the k-th largest sum; None keeps everything."""
+def decide(docs: DataFrame, labels: DataFrame, share: float = 1.0, temperature: float = TEMPERATURE) -> tuple[DataFrame, np.ndarray, float] | None:
+    """doc_id, log_weight and perturbed of every row (a written table), the model, and the k-th largest sum; None keeps everything."""
     common.find_package(docs.sparkSession)
     sample = labelled(labels)
     model = fit(docs, sample)
     if model is None:
         return None
-    names = (common.add_unique(docs, "log_weight"), common.add_unique(docs, "perturbed"))
-    made = score(docs if whole else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, temperature, names)
-    scored = common.written(made if whole else made.drop("text"), "scores")
-    plain = scored.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(n).alias(x) for n, x in zip(names, ("log_weight", "perturbed"), strict=True)])
-    k = int(share * plain.where(F.col("log_weight") >= F.lit(cut(plain, sample))).count())
-    return scored, names, kth_largest(plain, "perturbed", k)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = common.written(score(own, model, temperature), "scores")
+    k = int(share * scored.where(F.col("log_weight") >= F.lit(cut(scored, sample))).count())
+    return scored, model, kth_largest(scored, "perturbed", k)
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float = 1.0, temperature: float = TEMPERATURE) -> DataFrame:
-    """The rows that are kept, with their own columns."""
-    decided = decide(docs, labels, share, temperature, whole=True)
+    """The rows that are kept, with their own columns. They are weighed again: that takes less disk than texts written with their scores, and no shuffle."""
+    decided = decide(docs, labels, share, temperature)
     if decided is None:
         return docs
-    scored, names, least = decided
-    return scored.where(F.col(names[1]) >= F.lit(least)).drop(*names)
+    _, model, least = decided
+    at, of = docs.columns.index("doc_id"), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_weigh(model, _ids(batch, at), batch.column(of), temperature)[1] >= least))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,5 +250,5 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = decide(docs, common.read(spark, sf_dir, "labels"))
     if decided is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("perturbed"))
-    scored, names, least = decided
-    return scored.where(F.col(names[1]) >= F.lit(least)).select("doc_id", F.col(names[0]).alias("log_weight"), F.col(names[1]).alias("perturbed"))
+    scored, _, least = decided
+    return scored.where(F.col("perturbed") >= F.lit(least))

@@ -175,8 +175,8 @@ def test_resampling_against_brute_force(spark):
     noise = [((xxhash.xxh3_64_intdigest(f"{i}\0".encode() + (t or "").encode()) >> 12) + 0.5) / 2**52 for i, t in rows]
     for temperature, share in ((0.05, 1.0), (1.0, 1.0), (1.0, 0.5)):
         sums = [w / temperature - math.log(-math.log(u)) for w, u in zip(weights, noise, strict=True)]
-        scored, names, least = quality.decide(df, told, share, temperature)
-        assert np.allclose(sorted(x[names[0]] for x in scored.collect()), sorted(weights)) and np.allclose(sorted(x[names[1]] for x in scored.collect()), sorted(sums))
+        scored, _, least = quality.decide(df, told, share, temperature)
+        assert np.allclose(sorted(x.log_weight for x in scored.collect()), sorted(weights)) and np.allclose(sorted(x.perturbed for x in scored.collect()), sorted(sums))
         above = quality.cut(scored, {i: bool(q) for i, q, _ in labels})
         k = int(share * sum(w >= above - 1e-9 for w in weights))
         want = sorted(str(rows[x]) for x in np.argsort(sums)[::-1][:k])

@@ -97,3 +97,62 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in langid.predict(docs.limit(3), {}).collect()} == {"und"}
     assert {r.score for r in langid.predict(docs.where("doc_id = 1"), {"en": b"the cat sat"}).collect()} == {1.0}
     assert langid.fit(docs.limit(0)) == {}
+
+
+def plain_dictionaries(rows):
+    """The dictionaries by plain loops over (doc_id, text, lang)."""
+    import re
+    import struct
+
+    import xxhash
+
+    signed = lambda data: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64(data, seed=42).intdigest()))[0]
+    normal = lambda t: re.sub(r"[\W\d_]+", " ", t.lower()).encode()
+    out = {}
+    for lang in {r[2] for r in rows}:
+        first = {}
+        for i, text, own in rows:
+            if own == lang:
+                h, data = signed(struct.pack("<q", i)), text.encode()
+                key = h % 128
+                first[key] = min(first.get(key, (2**63,)), (h, len(data), signed(data), text))
+        left, whole = 112_000, []
+        for h, n, _, text in sorted(first.values()):
+            if n < left:
+                whole.append(text)
+                left -= n + 1
+        out[lang] = b" ".join(map(normal, whole))
+    return out
+
+
+def test_language_against_plain_loops(spark):
+    """Dictionaries and the compressed sizes are made again by plain loops."""
+    import zlib
+
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    own = plain_dictionaries([r for r in rows if zlib.crc32(str(r[0]).encode()) % 5])
+    assert own == langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    made = {}
+    for lang, data in own.items():
+        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=langid.LEVEL)
+        made[lang] = zstandard.ZstdCompressor(dict_data=d, level=langid.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    got = {r.doc_id: r for r in langid.op9_compression_langid(spark, "/root/testdata/sf0.01").collect()}
+    for i, text, _ in rows[:150]:
+        data = langid.normal(text)
+        sizes = {lang: sum(len(c.compress(data[at : at + langid.PIECE])) for at in range(0, len(data), langid.PIECE)) for lang, c in made.items()}
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[got[i].lang_pred] == best and abs(got[i].score - (second - best) / second) < 1e-12
+
+
+def test_language_long_texts(spark):
+    """A text that can't fit teaches from its start to its end if it is all there is, and is passed over otherwise."""
+    long = "alpha " * 30_000 + "omega " * 30_000
+    rows = [(1, long, "xx"), (2, long, "en"), (3, "the cat sat", "en"), (4, "the dog ran", "en"), (4, "the dog ran", "en")]
+    found = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(found["en"].split()) == sorted(b"the cat sat the dog ran".split())
+    assert b"alpha" in found["xx"] and b"omega" in found["xx"] and len(found["xx"]) <= langid.DICTIONARY
+    assert langid.predict(spark.createDataFrame([], "doc_id long, text string"), found).count() == 0

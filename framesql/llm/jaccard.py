@@ -45,6 +45,8 @@ MOST_MATCHES = 8
 MEET = 20.0
 #: Tokens and rows of a tile.
 TILE_TOKENS, TILE_ROWS = 1_000_000, 1024
+#: Tokens that a task holds to count hot ones before the shuffle.
+HELD_TOKENS = 500_000
 BROADCAST_ROWS = 1_000_000
 CACHE_WORDS = 250_000
 
@@ -142,7 +144,7 @@ def _postings(after: int | None, cold: int):
                     lists.append(tokens)
                     rids.append(rid)
                     held += len(tokens)
-                if held > 2_000_000:
+                if held > HELD_TOKENS:
                     yield out()
                     lists, rids, held = [], [], 0
         if lists:

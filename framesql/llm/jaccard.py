@@ -505,7 +505,7 @@ def _left_over(sets: _Sets, tied: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _classified(docs: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFrame]:
-    """The facts of all rows, and k1, k2, root, component of the sets that are linked with others."""
+    """The facts of all rows, and k1, k2, root and the least row (doc_id, ha, hb) of its class for each distinct set."""
     sets = _Sets(docs, width, share)
     pairs, tied = candidates(sets)
     links = common.written(_compared(sets, pairs), "links")
@@ -513,9 +513,13 @@ def _classified(docs: DataFrame, width: int, share: int) -> tuple[DataFrame, Dat
     more = common.written(_left_over(sets, tied, roots), "more-links")
     if not more.isEmpty():
         roots = graph.components(links.unionAll(more))
-    own = sets.reps.select("rid", "k1", "k2", "doc_id").join(roots.withColumnRenamed("id", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    least = own.groupBy("root").agg(F.min("doc_id").alias("component"))
-    return sets.facts.drop("near"), own.join(least, "root").select("k1", "k2", "root", "component")
+    own = sets.reps.select("rid", "k1", "k2", F.struct("doc_id", "ha", "hb").alias("own"))
+    own = common.written(own.join(roots.withColumnRenamed("id", "rid"), "rid", "left"), "roots-of-sets")
+    # Only classes of several sets are looked up; a set without links is its own class (null roots would meet in one task).
+    linked_ = own.where("root IS NOT NULL")
+    least = common.written(linked_.groupBy("root").agg(F.min("own").alias("first")), "least-rows")
+    of_set = linked_.join(_bounded(least), "root").select("k1", "k2", "root", "first")
+    return sets.facts.drop("near"), of_set.unionAll(own.where("root IS NULL").select("k1", "k2", F.col("rid").alias("root"), F.col("own").alias("first")))
 
 
 def _with_class(facts: DataFrame, of_set: DataFrame) -> DataFrame:
@@ -527,17 +531,16 @@ def _with_class(facts: DataFrame, of_set: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     rows = _with_class(*_classified(docs, width, share))
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     """One row of each class, of the smallest doc_id; rows without words or doc_id stay."""
     rows = _with_class(*_classified(docs, width, share)).where("root IS NOT NULL")
-    rows = common.written(rows.select("root", F.struct("doc_id", "ha", "hb").alias("row")), "classes")
-    first = rows.groupBy("root").agg(F.min("row").alias("first")).withColumnRenamed("root", "root_")
+    rows = common.written(rows.select(F.struct("doc_id", "ha", "hb").alias("row"), "first"), "classes")
     x, y = common.add_unique(docs, "row_a"), common.add_unique(docs, "row_b")
     keys = lambda c: [F.col(f"{c}.ha").alias(x), F.col(f"{c}.hb").alias(y)]
-    gone = _bounded(common.written(rows.join(first, F.col("root") == F.col("root_")).where("row <> first").select(*keys("row")).distinct(), "gone"))
+    gone = _bounded(common.written(rows.where("row <> first").select(*keys("row")).distinct(), "gone"))
     a, b = common.hash128(F.col("doc_id"), F.col("text"))
     same = (a == F.col(x)) & (b == F.col(y))
     kept = docs.join(gone, same, "left_anti")

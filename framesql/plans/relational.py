@@ -59,6 +59,7 @@ SQL = {
     "join_comma_where": "SELECT c_name, n_name FROM customer, nation WHERE c_nationkey = n_nationkey AND c_acctbal > 9000",
     "join_null_keys": "SELECT COUNT(*) AS n FROM (SELECT NULLIF(n_regionkey, 0) AS k FROM nation) AS a JOIN (SELECT NULLIF(r_regionkey, 0) AS k FROM region) AS b ON a.k = b.k",
     "join_five_tables": "SELECT r_name, COUNT(*) AS n, ROUND(SUM(l_extendedprice), 0) AS v FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY r_name",
+    "join_interval": "SELECT a.event_id AS a, b.event_id AS b FROM events AS a JOIN events AS b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1' HOUR",
     # aggregation
     "agg_count_star": "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus",
     "agg_count_col_nulls": "SELECT o_orderstatus, COUNT(NULLIF(o_orderpriority, '1-URGENT')) AS n FROM orders GROUP BY o_orderstatus",
@@ -126,6 +127,7 @@ SQL = {
     # windows
     "window_rank": "SELECT o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS r FROM orders",
     "window_running": "SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS running FROM orders",
+    "window_frames": "SELECT o_orderkey, CAST(SUM(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS near, FIRST_VALUE(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first, CAST(NTILE(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS quarter FROM orders",
     "window_lag": "SELECT o_orderkey, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders",
     # operators and functions that mean something else in Spark
     "qualify": "SELECT o_custkey, o_orderkey FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
@@ -142,6 +144,9 @@ SQL = {
     "cast_decimal": "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DECIMAL(12, 2)) AS q, CAST(CAST(l_discount AS NUMERIC(6, 2)) AS VARCHAR) AS d FROM lineitem",
     "recursive_cte": "WITH RECURSIVE r (n, s) AS (SELECT 1, 1 UNION ALL SELECT n + 1, s + n + 1 FROM r WHERE n < 20) SELECT n, s, n_name FROM r JOIN nation ON n = n_nationkey",
     "lateral_join": "SELECT r_name, m FROM region, LATERAL (SELECT MAX(n_nationkey) AS m FROM nation WHERE n_regionkey = r_regionkey) AS q",
+    "json_value": "SELECT event_id, CAST(JSON_EXTRACT_STRING(props, '$.k') AS BIGINT) AS k FROM events",
+    "bitwise": "SELECT n_nationkey, n_nationkey & 6 AS a, n_nationkey | 8 AS o FROM nation",
+    "filter_ilike": "SELECT c_custkey FROM customer WHERE c_mktsegment ILIKE 'b%'",
     "regexp": "SELECT doc_id FROM documents WHERE REGEXP_MATCHES(text, '[0-9]{4}-[0-9]{2}')",
     "except_of_null_list": "SELECT p_size, CAST(SUM(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls FROM (SELECT p_size, UNNEST(LIST(NULLIF(p_type, 'PROMO'))) AS x FROM part GROUP BY p_size) AS q GROUP BY p_size",
     # plain SQL over the other tables
@@ -171,8 +176,15 @@ def _frame_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.combine("except", a, b, every=True)
 
 
-FRAME_QUERIES = {"agg_string_concat": _text_sum, "frame_join_aggregate": _frame_join, "frame_top": _frame_top, "frame_except_all": _frame_except}
+def _pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated values spare the pass that would look for them."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+FRAME_QUERIES = {"frame_pivot": _pivot, "agg_string_concat": _text_sum, "frame_join_aggregate": _frame_join, "frame_top": _frame_top, "frame_except_all": _frame_except}
 FRAME_SQL = {
+    "frame_pivot": "SELECT o_orderpriority, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS F, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS O, COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY o_orderpriority",
     "agg_string_concat": "SELECT n_regionkey, string_agg(n_name, '' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey",
     "frame_join_aggregate": "SELECT r_name, COUNT(*) AS n, MIN(n_nationkey) AS low FROM nation LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY r_name HAVING COUNT(*) > 1",
     "frame_top": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 7 OFFSET 3",
